@@ -25,6 +25,8 @@ from brisa.llm.text import chunked
 from brisa.session import Scratch, ensure_importable
 
 WINDOW = 2048
+#: Offsets of up to this many partitions (12 bytes each) go to every executor; more are joined by a shuffle.
+BROADCAST_PARTITIONS = 1_000_000
 BOUND = "struct<doc_id: bigint, start: int, length: int, doc_offset: bigint>"
 SCHEMA = f"window_id bigint, n_tokens int, tokens array<int>, boundaries array<{BOUND}>"
 _CHUNK = "pid int, local_off bigint, n bigint, width int, doc_ids array<bigint>, doc_lens array<bigint>, ids binary, head binary, tail binary"
@@ -131,7 +133,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocab: str = bpe.DEFAULT_VOCAB)
     for row in totals:
         bases.append((row.pid, at))
         at += row.n
-    placed = chunks.join(spark.createDataFrame(bases, "pid int, base bigint"), "pid")
+    offsets = spark.createDataFrame(bases, "pid int, base bigint")
+    placed = chunks.join(F.broadcast(offsets) if len(bases) <= BROADCAST_PARTITIONS else offsets, "pid")
     whole = placed.select("base", "local_off", "n", "width", "doc_ids", "doc_lens", "ids").mapInArrow(_whole(window), SCHEMA)
     edges = placed.select("base", "local_off", "n", "width", "doc_ids", "doc_lens", "head", "tail").mapInArrow(_edges(window), f"window_id bigint, start int, tokens array<int>, boundaries array<{BOUND}>")
     parts = edges.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("start", "tokens", "boundaries"))).alias("p"))
