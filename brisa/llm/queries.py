@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brisa.llm import decontaminate, fingerprints, langid, licenses, neardup, packing, repair, secrets, toxicity
+from brisa.llm import decontaminate, fingerprints, langid, licenses, neardup, packing, repair, secrets, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_versions(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_licenses, op5_neardup, op7_fingerprints, op8_repair_tokens, op9_packing, op10_langid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_licenses, op5_neardup, op6_substrings, op7_fingerprints, op8_repair_tokens, op9_packing, op10_langid)}
 #: Fingerprints: the digests that peeling recovers are the differences of the sets of digests.
 ORACLE_SQL: dict[str, str] = {
     "op7_fingerprints": """
