@@ -32,7 +32,8 @@ SHARD_CHARS = 4_000_000
 MIN_COUNT = 16
 SCHEMA = "shard_id bigint, kind string, pos int, doc_id bigint, n_tokens bigint, width int, symbols binary, first_id int, rules binary, lengths binary"
 _BITS = 18
-_PER_ROUND = 4096
+#: A round replaces the pairs that are at least this fraction as frequent as its most frequent one.
+_STEP = 32
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, first: int, limit: int, min_count: int = MIN_COUNT):
@@ -43,45 +44,58 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, limit: int, min_co
     seq = ids.astype(np.uint32)
     starts = np.asarray(starts, dtype=np.int64)
     rules: list[np.ndarray] = []
-    nxt = first
+    nxt, buckets = first, 1 << _BITS
+    pair_of = np.zeros(buckets + 1, dtype=np.uint64)
     while nxt < limit and len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        h = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(32 - _BITS)
-        inner = starts[(starts > 0) & (starts < len(seq))] - 1
-        h[inner] = 1 << _BITS  # a pair across documents
-        count = np.bincount(h, minlength=(1 << _BITS) + 1)[: 1 << _BITS]
-        top = min(_PER_ROUND, limit - nxt)
-        least = max(min_count, int(np.partition(count, -top)[-top]) if top < len(count) else 0)
-        # Half of the round's best at most: rarer pairs may change once the frequent ones are gone.
-        least = max(least, int(count.max()) // 8)
-        heavy = np.zeros((1 << _BITS) + 1, dtype=bool)
-        heavy[: 1 << _BITS] = count >= least
+        h = (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(32 - _BITS)).astype(np.int64)
+        h[starts[(starts > 0) & (starts < len(seq))] - 1] = buckets  # a pair across documents
+        count = np.bincount(h, minlength=buckets + 1)[:buckets]
+        # Rarer pairs may change once the frequent ones are gone, so they wait.
+        least = max(min_count, int(count.max()) // _STEP)
+        heavy = np.zeros(buckets + 1, dtype=bool)
+        heavy[:buckets] = count >= least
         at = np.flatnonzero(heavy[h])
         if not len(at):
             break
+        # A bucket stands for one of its pairs; others that fall into it have their turn later.
+        hb = h[at]
         key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        pair, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+        pair_of[hb] = key
+        same = key == pair_of[hb]
+        at, hb = at[same], hb[same]
+        n = np.bincount(hb, minlength=buckets)
         good = np.flatnonzero(n >= least)
         if not len(good):
             good = np.flatnonzero(n >= min_count)
-            if not len(good):
+        if not len(good):  # crowded buckets only: count their pairs one by one
+            at = np.flatnonzero(heavy[h])
+            key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
+            pairs, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+            best = int(n.argmax())
+            if n[best] < min_count:
                 break
-        good = good[np.argsort(-n[good], kind="stable")][: limit - nxt]
-        new = np.zeros(len(pair), dtype=np.uint32)
+            at = at[inverse == best]
+            good, hb = h[at[:1]], h[at]
+            pair_of[good] = pairs[best]
+            n = np.bincount(hb, minlength=buckets)
+        good = good[np.lexsort((pair_of[good], -n[good]))][: limit - nxt]
+        new = np.zeros(buckets, dtype=np.uint32)
         new[good] = np.arange(nxt, nxt + len(good), dtype=np.uint32)
-        to = new[inverse]
+        to = new[hb]
         at, to = at[to > 0], to[to > 0]
         # Of overlapping pairs, every second one from the left is taken.
-        run = np.r_[True, np.diff(at) > 1]
-        begin = np.flatnonzero(run)
+        begin = np.flatnonzero(np.r_[True, np.diff(at) > 1])
         order = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
-        at, to = at[order % 2 == 0], to[order % 2 == 0]
+        even = order % 2 == 0
+        at, to = at[even], to[even]
         seq[at] = to
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         starts = starts - np.searchsorted(at + 1, starts, side="left")
         seq = seq[keep]
-        rules.append(np.stack([pair[good] >> np.uint64(32), pair[good] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        pairs = pair_of[good]
+        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         nxt += len(good)
     return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
