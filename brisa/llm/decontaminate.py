@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brisa.llm.rows import without_ids
 from brisa.llm.text import WORD, chunked, words
 from brisa.session import Scratch, ensure_importable
 
@@ -354,5 +355,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     scratch = Scratch(docs.sparkSession)
-    bad = scratch.put(find_leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "leaking")
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    return without_ids(docs, scratch.put(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaking"))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brisa.llm.rows import with_ids, without_ids
 from brisa.llm.text import WordHash, chunked, mix, word_ids
 from brisa.session import Scratch, ensure_importable
 
@@ -282,19 +283,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group, with all columns; documents in no group stay."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.put(_assign(docs), "assigned")
-    gone = found.where("NOT keep").select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp"))
-    again = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
-    once = docs.join(gone.select("gone_id").distinct(), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = scratch.put(again, "again")
+    gone = found.where("NOT keep").select("doc_id", "fp").toDF("__gone_id", "__gone_fp")
+    gone_ids = gone.select("__gone_id").distinct()
+    again = scratch.put(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     if again.isEmpty():
-        return once
+        return without_ids(docs, gone_ids)
     # Rows that share a doc_id are told apart by their fingerprints; of rows alike in both, one stays.
-    once = docs.join(gone.select("gone_id").distinct().join(again, F.col("gone_id") == F.col("again_id"), "left_anti"), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    once = once.join(again, F.col("doc_id") == F.col("again_id"), "left_anti")
-    rows = docs.join(again, F.col("doc_id") == F.col("again_id"), "left_semi")
-    mark = "__neardup_fp"
-    rows = rows.withColumn(mark, simhash("text"))
-    rows = rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & F.col(mark).eqNullSafe(F.col("gone_fp")), "left_anti")
-    place = F.row_number().over(Window.partitionBy("doc_id", F.coalesce(mark, F.lit(b""))).orderBy("text"))
-    rows = rows.withColumn("__place", place).where(f"__place = 1 OR {mark} IS NULL").drop("__place", mark)
+    once = without_ids(without_ids(docs, again), gone_ids)
+    rows = with_ids(docs, again).withColumn("__fp", simhash("text"))
+    rows = rows.join(gone, (rows["doc_id"] == gone["__gone_id"]) & (rows["__fp"] == gone["__gone_fp"]), "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy("text"))
+    rows = rows.withColumn("__place", place).where("__place = 1 OR __fp IS NULL").drop("__place", "__fp")
     return once.unionByName(rows)

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brisa.llm.rows import without_ids
 from brisa.llm.text import WORD, chunked, mix
 from brisa.session import Scratch, ensure_importable
 
@@ -261,5 +262,4 @@ def score(docs: DataFrame, labels: DataFrame, margin: float = MARGIN) -> DataFra
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with all their columns."""
     scratch = Scratch(docs.sparkSession)
-    bad = scratch.put(score(docs, labels).where("toxic").select(F.col("doc_id").alias("bad_id")).distinct(), "toxic")
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    return without_ids(docs, scratch.put(score(docs, labels).where("toxic").select("doc_id").distinct(), "toxic"))
