@@ -117,16 +117,43 @@ def _pieces(n: int, m: int):
     return ((a, min(n, a + step)) for a in range(0, n, step))
 
 
+def _filled(b: pa.RecordBatch, a: int, z: int, m: int, salt: int) -> Cells:
+    """Sketches of the rows ``a`` to ``z`` of a batch."""
+    part = b.column("digests").slice(a, z - a)
+    c = Cells(z - a, m, salt)
+    size = np.diff(part.offsets.to_numpy())
+    c.add(np.repeat(np.arange(z - a), size), part.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    return c
+
+
 def _sketch(m: int, salt: int):
     def run(batches):
         for b in batches:
-            digests = b.column("digests")
             for a, z in _pieces(b.num_rows, m):
-                part = digests.slice(a, z - a)
-                size = np.diff(part.offsets.to_numpy())
-                c = Cells(z - a, m, salt)
-                c.add(np.repeat(np.arange(z - a), size), part.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([b.column("row_id").slice(a, z - a), pa.array(c.dump(), pa.binary())], names=["row_id", "sketch"])
+                sketches = pa.array(_filled(b, a, z, m, salt).dump(), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(a, z - a) for c in ("row_id", "prev_row")] + [sketches], names=["row_id", "prev_row", "sketch"])
+
+    return run
+
+
+def _result(c: Cells, ids: pa.Array) -> pa.RecordBatch:
+    doc, key, sign, done = c.peel()
+    order = np.lexsort((key, doc))
+    doc, key, sign = doc[order], key[order].view(np.int64), sign[order]
+    lists = []
+    for want in (-1, 1):
+        at = np.bincount(doc[sign == want], minlength=c.n)
+        lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(at)].astype(np.int32)), pa.array(key[sign == want])))
+    return pa.RecordBatch.from_arrays([ids, pa.array(done), *lists], names=["row_id", "done", "removed", "added"])
+
+
+def _alone(m: int, salt: int):
+    """Against the empty sketch."""
+
+    def run(batches):
+        for b in batches:
+            for a, z in _pieces(b.num_rows, m):
+                yield _result(_filled(b, a, z, m, salt), b.column("row_id").slice(a, z - a))
 
     return run
 
@@ -134,18 +161,11 @@ def _sketch(m: int, salt: int):
 def _compare(m: int, salt: int):
     def run(batches):
         for b in batches:
-            new, old, ids = b.column("sketch").to_pylist(), b.column("prev_sketch").to_pylist(), b.column("row_id")
+            new, old = b.column("sketch").to_pylist(), b.column("prev_sketch").to_pylist()
             for a, z in _pieces(b.num_rows, m):
                 c = Cells.load(new[a:z], m, salt)
                 c.minus(Cells.load(old[a:z], m, salt))
-                doc, key, sign, done = c.peel()
-                order = np.lexsort((key, doc))
-                doc, key, sign = doc[order], key[order].view(np.int64), sign[order]
-                lists = []
-                for want in (-1, 1):
-                    at = np.bincount(doc[sign == want], minlength=z - a)
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(at)].astype(np.int32)), pa.array(key[sign == want])))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(done), *lists], names=["row_id", "done", "removed", "added"])
+                yield _result(c, b.column("row_id").slice(a, z - a))
 
     return run
 
@@ -169,13 +189,17 @@ def compare_versions(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     pairs = scratch.put(pairs, "pairs")
     pending, done, m, k = pairs, [], cells, 0
     while True:
-        needed = table if k == 0 else table.join(pending.select("row_id").union(pending.where("prev_row is not null").select("prev_row")).distinct(), "row_id", "left_semi")
-        sketches = scratch.put(needed.select("row_id", "digests").mapInArrow(_sketch(m, k), "row_id bigint, sketch binary"), f"sketch{k}")
-        both = pending.join(sketches, "row_id").join(sketches.withColumnsRenamed({"row_id": "prev_row", "sketch": "prev_sketch"}), "prev_row", "left")
-        tried = scratch.put(both.select("row_id", "sketch", "prev_sketch").mapInArrow(_compare(m, k), RESULT), f"tried{k}")
-        scratch.drop(f"sketch{k}")
+        # First versions need no partner, so their sketches go nowhere; of a pair, each side's goes once.
+        here = table.select("row_id", "digests").join(pending, "row_id")
+        first = here.where("prev_row IS NULL").select("row_id", "digests").mapInArrow(_alone(m, k), RESULT)
+        new = here.where("prev_row IS NOT NULL").select("row_id", "prev_row", "digests").mapInArrow(_sketch(m, k), "row_id bigint, prev_row bigint, sketch binary")
+        wanted = pending.where("prev_row IS NOT NULL").select(F.col("prev_row").alias("row_id"))
+        old = table.select("row_id", F.col("row_id").alias("prev_row"), "digests").join(wanted, "row_id", "left_semi").mapInArrow(_sketch(m, k), "row_id bigint, prev_row bigint, sketch binary")
+        both = new.join(old.select("prev_row", F.col("sketch").alias("prev_sketch")), "prev_row")
+        pairs_tried = both.select("row_id", "sketch", "prev_sketch").mapInArrow(_compare(m, k), RESULT)
+        tried = scratch.put(first.unionByName(pairs_tried), f"tried{k}")
         done.append(tried.where("done").drop("done"))
-        failed = tried.where("not done").select("row_id")
+        failed = tried.where("NOT done").select("row_id")
         if failed.isEmpty():
             break
         pending, m, k = pending.join(failed, "row_id", "left_semi"), m * GROWTH, k + 1
