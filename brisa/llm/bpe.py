@@ -1,26 +1,18 @@
-"""Byte-level BPE with a cache of pieces; the vocabulary file's path is a parameter."""
+"""Byte-level BPE; the vocabulary file's path is a parameter."""
 
 from __future__ import annotations
 
 import base64
-import re
+from array import array
 
 import numpy as np
 import tiktoken
 
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same split for the standard library. It differs only on text with the characters of _HARD.
-_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_CACHE = 400_000
 _LOADED: dict[str, "Bpe"] = {}
 
 
-#: Where the two splits may differ: numerals that aren't digits, separators, and, to be safe, all
-#: scripts but Latin with its punctuation. Such texts take the tokenizer's own splitter.
-_HARD = re.compile("[\\x1c-\\x1f\\xb2\\xb3\\xb9\\xbc-\\xbe\\u0250-\\u200f\\u203b-\\U0010ffff]")
-
-
 class Bpe:
     """``encode`` gives little-endian ids; ``width`` bytes each."""
 
@@ -31,24 +23,11 @@ class Bpe:
         self.eos = self.size  # the id after the last rank is free
         self.dtype = np.dtype("<u2") if self.eos < 1 << 16 else np.dtype("<u4")
         self.encoding = tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     def encode(self, text: str) -> bytes:
-        if _HARD.search(text):
-            clean = text.encode("utf-8", "replace").decode("utf-8")
-            return np.array(self.encoding.encode_ordinary(clean), dtype=self.dtype).tobytes()
-        cache, pieces = self.cache, _FAST.findall(text)
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(cache) > _CACHE:
-            cache.clear()
-        encode, dtype = self.encoding.encode_ordinary, self.dtype
-        for piece in set(pieces).difference(cache):
-            cache[piece] = np.array(encode(piece), dtype=dtype).tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+        return array(self.code, self.encoding.encode_ordinary(text)).tobytes()
 
     def decode(self, ids) -> str:
         return b"".join(self.bytes_of.get(int(i), b"") for i in ids).decode("utf-8", "replace")
