@@ -162,12 +162,39 @@ def sparse_rows(term: np.ndarray, block: np.ndarray, idf: np.ndarray):
     return row, term, w, len(start)
 
 
+#: Longer runs are summed by a matrix product of their own.
+_LONG = 48
+
+
+def run_sums(table: np.ndarray, pick: np.ndarray, weight: np.ndarray | None, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For every run ``[start, stop)``, the sum of ``weight[i] * table[pick[i]]`` over its ``i``.
+
+    Runs go by length: step ``j`` adds the ``j``-th row of all runs that have one, which lie together.
+    """
+    size = stop - start
+    out = np.zeros((len(start), table.shape[1]), dtype=np.float32)
+    for k in np.flatnonzero(size > _LONG):
+        at = slice(start[k], stop[k])
+        rows = table[pick[at]]
+        out[k] = rows.sum(0) if weight is None else weight[at] @ rows
+    short = np.flatnonzero((size > 0) & (size <= _LONG))
+    short = short[np.argsort(-size[short], kind="stable")]
+    begin, length = start[short], size[short]
+    sums = np.zeros((len(short), table.shape[1]), dtype=np.float32)
+    for j in range(int(length[0]) if len(short) else 0):
+        at = begin[: np.searchsorted(-length, -j, side="left")] + j
+        rows = table[pick[at]]
+        if weight is not None:
+            rows *= weight[at, None]
+        sums[: len(at)] += rows
+    out[short] = sums
+    return out
+
+
 def project(row, term, w, n, basis) -> np.ndarray:
     """Sparse rows (sorted by row) times a dense basis."""
-    if not n:
-        return np.zeros((0, basis.shape[1]), np.float32)
-    start = np.searchsorted(row, np.arange(n))
-    return np.add.reduceat(basis[term] * w[:, None], start, axis=0)
+    ends = np.searchsorted(row, np.arange(n + 1))
+    return run_sums(basis, term, w, ends[:-1], ends[1:])
 
 
 def accumulate(z: np.ndarray, row, term, w, n, basis) -> None:
@@ -178,7 +205,7 @@ def accumulate(z: np.ndarray, row, term, w, n, basis) -> None:
     order = np.argsort(term, kind="stable")
     t = term[order]
     start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-    z[t[start]] += np.add.reduceat(y[row[order]] * w[order, None], start, axis=0)
+    z[t[start]] += run_sums(y, row[order], w[order], start, np.r_[start[1:], len(t)])
 
 
 def _range(shared):
@@ -266,7 +293,7 @@ def _search(shared):
                 continue
             start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             have = b[start]
-            sums = np.add.reduceat(scaled[t], start, axis=0)
+            sums = run_sums(scaled, t, None, start, np.r_[start[1:], len(t)])
             # A window is a block and the next one of the same document, if there is one.
             owner = np.searchsorted(first, have, side="right") - 1
             follows = np.r_[(have[1:] == have[:-1] + 1) & (owner[1:] == owner[:-1]), False]
