@@ -1,8 +1,8 @@
 """Operator 8, token-id output: Re-Pair grammar compression.
 
 Method: Re-Pair. Documents are tokenized and gathered into shards; in each shard the most frequent
-pairs of adjacent ids are replaced by new nonterminals, again and again, until no pair is frequent
-enough. Pairs never cross documents. Rules are stored with the length of their expansion, so a
+pairs of adjacent ids are replaced by new nonterminals, again and again, until no frequent pair is
+left (see ``LEAST_GAIN``). Pairs never cross documents. Rules are stored with the length of their expansion, so a
 range of a document's ids is decoded without expanding what lies before it.
 
 Rows: one of kind ``doc`` for each document (``symbols``: little-endian, ``width`` bytes each) and
@@ -30,6 +30,8 @@ from brisa.session import ensure_importable
 SHARD_CHARS = 4_000_000
 #: A pair seen less often in a shard is left alone: a rule takes 12 bytes.
 MIN_COUNT = 16
+#: The last rounds count pairs one by one; they end when a round shortens the shard by less than this.
+LEAST_GAIN = 0.001
 SCHEMA = "shard_id bigint, kind string, pos int, doc_id bigint, n_tokens bigint, width int, symbols binary, first_id int, rules binary, lengths binary"
 _BITS = 18
 #: A round replaces the pairs that are at least this fraction as frequent as its most frequent one.
@@ -46,43 +48,32 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, limit: int, min_co
     rules: list[np.ndarray] = []
     nxt, buckets = first, 1 << _BITS
     pair_of = np.zeros(buckets + 1, dtype=np.uint64)
+    least, exact = None, False
     while nxt < limit and len(seq) > 1:
         a, b = seq[:-1], seq[1:]
         h = (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(32 - _BITS)).astype(np.int64)
         h[starts[(starts > 0) & (starts < len(seq))] - 1] = buckets  # a pair across documents
         count = np.bincount(h, minlength=buckets + 1)[:buckets]
         # Rarer pairs may change once the frequent ones are gone, so they wait.
-        least = max(min_count, int(count.max()) // _STEP)
+        least = max(min_count, int(count.max()) // _STEP) if least is None else least
         heavy = np.zeros(buckets + 1, dtype=bool)
         heavy[:buckets] = count >= least
         at = np.flatnonzero(heavy[h])
-        if not len(at):
-            break
-        # A bucket stands for one of its pairs; others that fall into it have their turn later.
-        hb = h[at]
         key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        pair_of[hb] = key
-        same = key == pair_of[hb]
-        at, hb = at[same], hb[same]
-        n = np.bincount(hb, minlength=buckets)
+        if exact:
+            pairs, kind, n = np.unique(key, return_inverse=True, return_counts=True)
+        else:
+            # A bucket stands for one of its pairs; others that fall into it have their turn later.
+            kind = h[at]
+            pair_of[kind] = key
+            same = key == pair_of[kind]
+            at, kind, pairs = at[same], kind[same], pair_of
+            n = np.bincount(kind, minlength=buckets)
         good = np.flatnonzero(n >= least)
-        if not len(good):
-            good = np.flatnonzero(n >= min_count)
-        if not len(good):  # crowded buckets only: count their pairs one by one
-            at = np.flatnonzero(heavy[h])
-            key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-            pairs, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-            best = int(n.argmax())
-            if n[best] < min_count:
-                break
-            at = at[inverse == best]
-            good, hb = h[at[:1]], h[at]
-            pair_of[good] = pairs[best]
-            n = np.bincount(hb, minlength=buckets)
-        good = good[np.lexsort((pair_of[good], -n[good]))][: limit - nxt]
-        new = np.zeros(buckets, dtype=np.uint32)
+        good = good[np.lexsort((pairs[good], -n[good]))][: limit - nxt]
+        new = np.zeros(len(n), dtype=np.uint32)
         new[good] = np.arange(nxt, nxt + len(good), dtype=np.uint32)
-        to = new[hb]
+        to = new[kind]
         at, to = at[to > 0], to[to > 0]
         # Of overlapping pairs, every second one from the left is taken.
         begin = np.flatnonzero(np.r_[True, np.diff(at) > 1])
@@ -94,9 +85,13 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, limit: int, min_co
         keep[at + 1] = False
         starts = starts - np.searchsorted(at + 1, starts, side="left")
         seq = seq[keep]
-        pairs = pair_of[good]
+        pairs = pairs[good]
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         nxt += len(good)
+        if len(at) <= LEAST_GAIN * len(seq):  # little came of it: go on to rarer pairs, then one by one
+            if least == min_count and exact:
+                break
+            least, exact = max(min_count, least // _STEP), least == min_count
     return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
