@@ -13,7 +13,7 @@ _ONES = "ZERO UM DOIS TRES QUATRO CINCO SEIS SETE OITO NOVE DEZ ONZE DOZE TREZE
 _TENS = "- - VINTE TRINTA QUARENTA CINQUENTA SESSENTA SETENTA OITENTA NOVENTA".split()
 _HUNDREDS = "- CENTO DUZENTOS TREZENTOS QUATROCENTOS QUINHENTOS SEISCENTOS SETECENTOS OITOCENTOS NOVECENTOS".split()
 #: From thousands up: for one, and for more.
-_SCALES = (("MIL", "MIL"), ("UM MILHAO", "MILHOES"), ("UM BILHAO", "BILHOES"))
+_SCALES = tuple(x.split("/") for x in ("MIL/MIL", "UM MILHAO/MILHOES", "UM BILHAO/BILHOES"))
 ROMAN_CANDIDATE = re.compile(r"\b[MDCLXVI]+\b", re.IGNORECASE)
 ROMAN = re.compile(r"M*(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})", re.IGNORECASE)
 _VALUES = dict(zip("IVXLCDMivxlcdm", 2 * (1, 5, 10, 50, 100, 500, 1000)))

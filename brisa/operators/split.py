@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 from brisa.functions.normalize import fold_ascii
 from brisa.functions.standardize import FIELDS, format_address, standardize_address
 
-TOKEN = r"(?U)\d+|\w+|[^\s\w]"
+#: Digits, words, or a single sign.
+PIECES = (r"\d+", r"\w+", r"[^\w\s]")
+TOKEN = "(?U)" + "|".join(PIECES)
 MARKS = frozenset(",.;:/?!@#$%&_()-+[]{}\"'\\|")
 NEIGHBOURS = (-2, -1, 1, 2)
 TAGS = {"LOG": "logradouro", "NUM": "numero", "COM": "complemento", "LOC": "localidade"}
 SPLIT = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
-_TOKEN = re.compile(r"\d+|\w+|[^\s\w]")
+_TOKEN = re.compile("|".join(PIECES))
 
 
 def tokenize(col: Column) -> Column:
@@ -229,7 +231,7 @@ def standardize_raw_address(col: Column, model: Model) -> Column:
     return format_address(standardize_address(split_address(col, model)))
 
 
-# -- labelled rows ------------------------------------------------------------------------------------
+# labelled rows
 LABELS = {"logradouro": "LOG", "numero": "NUM", "complemento": "COM", "bairro": "LOC", "municipio": "MUN", "cep": "CEP"}
 FORMATS = tuple(
     x.translate(str.maketrans({"l": "logradouro ", "n": "numero ", "c": "complemento ", "b": "bairro ", "m": "municipio ", "p": "cep "})).strip()
@@ -310,7 +312,7 @@ def add_noise(df: DataFrame, key: str, abbreviations: dict[str, Sequence[str]],
     return out.withColumns({"numero": number, "cep": code, "formato": choice(36, FORMATS), "separador": choice(37, (", ", " "))})
 
 
-# -- evaluation ---------------------------------------------------------------------------------------
+# evaluation
 def token_pairs(df: DataFrame, gold: str = "tags", guess: str = "predicted") -> DataFrame:
     """A row for each token: ``token, gold, guess``."""
     z = F.arrays_zip(F.col("tokens").alias("token"), F.col(gold).alias("gold"), F.col(guess).alias("guess"))

@@ -115,7 +115,7 @@ class RuleSet:
     def __reduce__(self):
         return RuleSet, (self.rules,)
 
-    # -- building ---------------------------------------------------------------------------------
+    # building
     def add(self, pattern: str, replacement: str, guard: str | None = None) -> "RuleSet":
         """One more rule. The replacement is upper-cased, the patterns are not."""
         return RuleSet((*self.rules, Rule(pattern, replacement.upper(), guard)))
@@ -139,7 +139,7 @@ class RuleSet:
             out = out.add(*row)
         return out
 
-    # -- export -----------------------------------------------------------------------------------
+    # export
     def pairs(self) -> list[tuple[str, str, str | None]]:
         return [(r.pattern, r.replacement, r.guard) for r in self.rules]
 
@@ -150,7 +150,7 @@ class RuleSet:
         rows = [(k, *p) for k, p in enumerate(self.pairs())]
         return spark.createDataFrame(rows, "ord int, pattern string, replacement string, guard string")
 
-    # -- applying ---------------------------------------------------------------------------------
+    # applying
     def fold(self, text: str) -> str:
         """The rules over a text that is normalized already."""
         if "compiled" not in self._made:

@@ -85,7 +85,7 @@ def test_features():
 
 def test_assembly():
     tokens = "Rua A , 10 fundos x y".split()
-    tags = ["B-LOG", "I-LOG", "O", "B-NUM", "B-COM", "I-LOG", "I-COM"]
+    tags = "B-LOG I-LOG O B-NUM B-COM I-LOG I-COM".split()
     assert split.assemble(tokens, tags) == {"logradouro": "Rua A", "numero": "10", "complemento": "fundos x y", "localidade": None}
     assert split.assemble(["a", "b", "c"], ["I-LOG", "B-MUN", "I-MUN"]) == dict.fromkeys(split.TAGS.values())
     assert split.assemble(["a", "b", "c"], ["B-LOG", "B-LOG", "I-LOG"])["logradouro"] == "a c"
