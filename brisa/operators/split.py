@@ -232,9 +232,9 @@ def standardize_raw_address(col: Column, model: Model) -> Column:
 
 
 # labelled rows
-LABELS = {"logradouro": "LOG", "numero": "NUM", "complemento": "COM", "bairro": "LOC", "municipio": "MUN", "cep": "CEP"}
+LABELS = dict(zip(("logradouro", "numero", "complemento", "bairro", "municipio", "cep"), "LOG NUM COM LOC MUN CEP".split()))
 FORMATS = tuple(
-    x.translate(str.maketrans({"l": "logradouro ", "n": "numero ", "c": "complemento ", "b": "bairro ", "m": "municipio ", "p": "cep "})).strip()
+    x.translate(str.maketrans({k: f"{v} " for k, v in zip("lncbmp", LABELS)})).strip()
     for x in ("lnc", "lncb", "lncbm", "lncbmp", "lncpbm", "lncbpm", "mblnc", "lbncm", "lnbc")
 )
 MISSING = ("", "S/N", "SN", "S N", "SEM NUMERO", "SEM NUM")
