@@ -237,7 +237,7 @@ FORMATS = tuple(
     x.translate(str.maketrans({k: f"{v} " for k, v in zip("lncbmp", LABELS)})).strip()
     for x in ("lnc", "lncb", "lncbm", "lncbmp", "lncpbm", "lncbpm", "mblnc", "lbncm", "lnbc")
 )
-MISSING = ("", "S/N", "SN", "S N", "SEM NUMERO", "SEM NUM")
+MISSING = tuple("|S/N|SN|S N|SEM NUMERO|SEM NUM".split("|"))
 PREFIXES = ("N.", "NUM", "NO", "Nº")
 
 
