@@ -165,7 +165,9 @@ def evidence(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     # One weight of the shared model for both classes: the part of the counts that was discounted.
     joined = joined.withColumns({"p": shared, "weight": 1 - (F.col("all_t") + F.col("all_o")) / F.col("raw")})
     of = lambda c: F.when(F.col(f"all_{c}") > 0, (1 - F.col("weight")) * F.col(c) / F.col(f"all_{c}") + F.col("weight") * F.col("p")).otherwise(F.col("p"))
-    return scratch.put(joined.select("gram", (F.log(of("t")) - F.log(of("o"))).alias("delta")).where("abs(delta) > 1e-9"), "evidence")
+    out = scratch.put(joined.select("gram", (F.log(of("t")) - F.log(of("o"))).alias("delta")).where("abs(delta) > 1e-9"), "evidence")
+    scratch.drop("grams", *[f"level{k}" for k in range(1, ORDER)])
+    return out
 
 
 class WordScores:
