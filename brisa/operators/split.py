@@ -238,7 +238,7 @@ FORMATS = tuple(
     for x in ("lnc", "lncb", "lncbm", "lncbmp", "lncpbm", "lncbpm", "mblnc", "lbncm", "lnbc")
 )
 MISSING = tuple("|S/N|SN|S N|SEM NUMERO|SEM NUM".split("|"))
-PREFIXES = ("N.", "NUM", "NO", "Nº")
+PREFIXES = tuple("N. NUM NO Nº".split())
 
 
 def label(address: dict[str, str], layout: str = FORMATS[2], separator: str = ", ") -> tuple[list[str], list[str]]:
