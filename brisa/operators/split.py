@@ -6,6 +6,7 @@ No trained model comes with this package: ``train`` fits one on labelled rows, `
 from __future__ import annotations
 
 import re
+import time
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -231,6 +232,45 @@ def standardize_raw_address(col: Column, model: Model) -> Column:
     return format_address(standardize_address(split_address(col, model)))
 
 
+def kinds_with(model: Model):
+    """Further kinds of standardizers, which need a model: by name, as ``standardize.by_kind``."""
+    shown = lambda a: F.to_json(a, {"ignoreNullFields": "false"})
+    return {
+        "completo": lambda c: standardize_raw_address(c, model),
+        "separar": lambda c: shown(split_address(c, model)),
+        "separar_padronizar": lambda c: shown(standardize_address(split_address(c, model))),
+    }
+
+
+def timing(df: DataFrame, source: str, model: Model, rows: int = 100_000) -> DataFrame:
+    """Mean microseconds for an address's features and for its tags, over the first rows."""
+
+    @F.pandas_udf(T.StructType([T.StructField("features_us", T.LongType()), T.StructField("tags_us", T.LongType())]))
+    def run(tokens: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in tokens:
+            a = time.perf_counter_ns()
+            found = features(list(t))
+            b = time.perf_counter_ns()
+            model.tag(found)
+            out.append(((b - a) // 1000, (time.perf_counter_ns() - b) // 1000))
+        return pd.DataFrame(out, columns=["features_us", "tags_us"])
+
+    timed = df.limit(rows).where(F.col(f"`{source}`").isNotNull()).select(run(tokenize(F.col(f"`{source}`"))).alias("t"))
+    return timed.agg(F.avg("t.features_us").alias("features_us"), F.avg("t.tags_us").alias("tags_us"))
+
+
+def tune(rows: Sequence[tuple[Sequence[str], Sequence[str]]], rounds: Sequence[int] = (1, 3, 5, 10), share: float = 0.9) -> list[tuple[int, float]]:
+    """(rounds, share of right tokens) on the held-out end of the rows, best first."""
+    cut = int(len(rows) * share)
+    out = []
+    for n in rounds:
+        model = train(rows[:cut], n)
+        pairs = [(a, b) for tok, ts in rows[cut:] for a, b in zip(model.tag(features(list(tok))), ts)]
+        out.append((n, sum(a == b for a, b in pairs) / max(1, len(pairs))))
+    return sorted(out, key=lambda x: (-x[1], x[0]))
+
+
 # labelled rows
 LABELS = dict(zip(("logradouro", "numero", "complemento", "bairro", "municipio", "cep"), "LOG NUM COM LOC MUN CEP".split()))
 FORMATS = tuple(
@@ -241,7 +281,7 @@ MISSING = tuple("|S/N|SN|S N|SEM NUMERO|SEM NUM".split("|"))
 PREFIXES = tuple("N. NUM NO Nº".split())
 
 
-def label(address: dict[str, str], layout: str = FORMATS[2], separator: str = ", ") -> tuple[list[str], list[str]]:
+def label(address: dict[str, str], layout: str = FORMATS[2], separator: str = ", ") -> tuple[list[str], ...]:
     """Tokens and BIO tags of an address record in a layout."""
     tokens: list[str] = []
     tags: list[str] = []
@@ -291,7 +331,7 @@ def add_noise(df: DataFrame, key: str, abbreviations: dict[str, Sequence[str]],
         return F.element_at(F.array(*map(F.lit, values)), (F.floor(chance(k) * len(values)) + 1).cast("int"))
 
     out = df
-    texts = ("logradouro", "bairro", "municipio", "complemento")
+    texts = "logradouro bairro municipio complemento".split()
     for k, name in enumerate(texts):
         c = F.upper(name)
         if not clean:
@@ -306,9 +346,10 @@ def add_noise(df: DataFrame, key: str, abbreviations: dict[str, Sequence[str]],
     shown = F.when(chance(32) < 0.05, shown).otherwise(F.concat_ws(" ", choice(33, PREFIXES), shown))
     number = F.when(F.coalesce("numero", F.lit("")) == "", choice(34, MISSING)).when(plain, shown).otherwise(F.upper("numero"))
     code = F.lpad(F.coalesce("cep", F.lit("")), 8, "0")
-    form = choice(35, ("99999-999", "99.999-999", "99999999"))
+    dash, both = "99999-999", "99.999-999"
+    form = choice(35, (dash, both, ""))
     cut = lambda a, n: F.substring(code, a, n)
-    code = F.when(form == "99.999-999", F.concat(cut(1, 2), F.lit("."), cut(3, 3), F.lit("-"), cut(6, 3))).when(form == "99999-999", F.concat(cut(1, 5), F.lit("-"), cut(6, 3))).otherwise(code)
+    code = F.when(form == both, F.concat(cut(1, 2), F.lit("."), cut(3, 3), F.lit("-"), cut(6, 3))).when(form == dash, F.concat(cut(1, 5), F.lit("-"), cut(6, 3))).otherwise(code)
     return out.withColumns({"numero": number, "cep": code, "formato": choice(36, FORMATS), "separador": choice(37, (", ", " "))})
 
 
@@ -335,6 +376,11 @@ def sequence_accuracy(df: DataFrame, gold: str = "tags", guess: str = "predicted
     return df.agg(F.avg((F.col(gold) == F.col(guess)).cast("double")).alias("sequence_accuracy"), F.avg(F.try_divide(right, F.size(gold))).alias("mean_token_accuracy"))
 
 
+def error_samples(df: DataFrame, n: int = 10, seed: int = 0, gold: str = "tags", guess: str = "predicted") -> DataFrame:
+    """Some rows that are wrong somewhere."""
+    return df.where(F.col(gold) != F.col(guess)).orderBy(F.rand(seed)).limit(n)
+
+
 def top_errors(pairs: DataFrame, by: Sequence[str] = ("token",), n: int = 20) -> DataFrame:
     """What is got wrong most often."""
     return pairs.where(F.col("gold") != F.col("guess")).groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by).limit(n)

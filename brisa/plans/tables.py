@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brisa.functions.standardize import BATCH_KINDS, FIELDS, by_kind, standardize_address, with_municipality
 from brisa.operators.split import split_address
+from brisa.sources.files import read_lines, write_parquet
 
 
 def parse_spec(spec: str) -> tuple[str, str, str]:
@@ -89,3 +90,13 @@ def line_compare(raw: DataFrame, golden: DataFrame, kind: str) -> DataFrame:
         raise ValueError(f"{n} lines against {m}")
     both = raw.select("line", F.col("value").alias("raw")).join(golden.select("line", F.col("value").alias("expected")), "line")
     return both.withColumn("actual", BATCH_KINDS[kind](F.col("raw"))).where(F.col("actual") != F.col("expected"))
+
+
+def save_snapshot(spark: SparkSession, source: str, target: str, kind: str) -> None:
+    """Standardizes a file of lines into a golden table."""
+    write_parquet(snapshot(read_lines(spark, source), kind), target)
+
+
+def check_snapshot(spark: SparkSession, source: str, golden: str, kind: str) -> DataFrame:
+    """What differs now from a saved golden table."""
+    return snapshot_compare(read_lines(spark, source), spark.read.parquet(golden), kind)

@@ -185,6 +185,22 @@ _add(
     lambda spark, sf_dir: prepare.union_sources({t: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.col(f"{p}_name"), F.lit(None).cast("string").alias("n"), F.lit("").alias("c"), F.col(f"{p}_nationkey").cast("string").alias("l"), F.lit("0").alias("z"), F.lit("x").alias("m"), F.lit("SP").alias("u")) for t, p in (("customer", "c"), ("supplier", "s"))}),
     " UNION ".join(f"SELECT {p}_name AS logradouro, CAST(NULL AS VARCHAR) AS numero, '' AS complemento, CAST({p}_nationkey AS VARCHAR) AS localidade, '0' AS cep, 'x' AS municipio, 'SP' AS uf, '{t}' AS origem FROM {t}" for t, p in (("customer", "c"), ("supplier", "s"))),
 )
+_TOWN = "SELECT concat(CAST(110000 + n_nationkey AS VARCHAR(9)), '0') AS cod_ibge, n_name AS municipio, 'SP' AS uf FROM nation WHERE n_nationkey % 2 = 0"
+
+
+def _with_towns(f, columns: dict[str, str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(*[f"{v} AS `{k}`" for k, v in columns.items()])
+        towns = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 2 = 0").selectExpr("concat(CAST(110000 + n_nationkey AS VARCHAR(9)), '0') AS cod_ibge", "n_name AS municipio", "'SP' AS uf")
+        return f(rows, towns)
+
+    return run
+
+
+_CNES = {"no_logradouro": "c_name", "nu_endereco": "c_custkey", "no_bairro": "c_mktsegment", "co_cep": "'1'", "co_ibge": "CAST(110000 + c_nationkey AS VARCHAR(9))"}
+_add("prepare_left_join", _with_towns(prepare.prepare_cnes, _CNES), f"SELECT c_name AS logradouro, CAST(c_custkey AS VARCHAR) AS numero, CAST(NULL AS VARCHAR) AS complemento, c_mktsegment AS localidade, '1' AS cep, t.municipio, t.uf FROM customer LEFT JOIN ({_TOWN}) t ON CAST(110000 + c_nationkey AS VARCHAR) = left(t.cod_ibge, 6)")
+_CNEFE = {"nom_tipo_seglogr": "'RUA'", "nom_titulo_seglogr": "CASE WHEN c_custkey % 2 = 0 THEN 'DOM' ELSE '' END", "nom_seglogr": "c_name", "num_adress": "c_custkey", "dsc_modificador": "CASE WHEN c_custkey % 3 = 0 THEN 'A' END", "nom_comp_elem1": "'AP'", "val_comp_elem1": "'  7 '", "nom_comp_elem2": "''", "val_comp_elem2": "'9'", "nom_comp_elem3": "NULL", "val_comp_elem3": "NULL", "nom_comp_elem4": "'X'", "desc_localidade": "c_mktsegment", "cep": "'1'", "code_muni": "concat(CAST(110000 + c_nationkey AS VARCHAR(9)), '0')"}
+_add("prepare_inner_join", _with_towns(prepare.prepare_cnefe, _CNEFE), f"SELECT concat_ws(' ', 'RUA', CASE WHEN c_custkey % 2 = 0 THEN 'DOM' END, c_name) AS logradouro, concat_ws(' ', CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 3 = 0 THEN 'A' END) AS numero, 'AP 7 9 X' AS complemento, c_mktsegment AS localidade, '1' AS cep, t.municipio, t.uf FROM customer JOIN ({_TOWN}) t ON concat(CAST(110000 + c_nationkey AS VARCHAR), '0') = t.cod_ibge")
 _add(
     "profile",
     lambda spark, sf_dir: prepare.profile(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority"), exact=True),
@@ -206,6 +222,14 @@ _add("labelled_rows", _tagged)
 _add("features", lambda spark, sf_dir: _tagged(spark, sf_dir).select("c_custkey", split.features_of("tokens").alias("features")))
 _add("assemble", lambda spark, sf_dir: _tagged(spark, sf_dir).select("c_custkey", split.assemble_fields("tokens", "tags").alias("a")).select("c_custkey", "a.*"))
 _GUESS = "CASE WHEN o_orderkey % 5 = 0 THEN 'F' ELSE o_orderstatus END"
+_add(
+    "sequence_accuracy",
+    lambda spark, sf_dir: split.sequence_accuracy(_of("orders", ["array(o_orderstatus, 'a') AS tags", f"array({_GUESS}, 'a') AS predicted"])(spark, sf_dir)),
+    """SELECT avg(CASE WHEN ok THEN 1.0 ELSE 0 END) AS sequence_accuracy, avg(CASE WHEN ok THEN 1.0 ELSE 0.5 END) AS mean_token_accuracy
+FROM (SELECT o_orderkey % 5 <> 0 OR o_orderstatus = 'F' AS ok FROM orders)""",
+)
+_MODEL = split.Model(sorted(["B-LOG", "I-LOG", "B-NUM", "O"]), {"0:is_alpha": {"I-LOG": 1.0}, "BOS": {"B-LOG": 2.0}, "0:is_digit": {"B-NUM": 1.0}, "0:is_punct": {"O": 1.0}})
+_add("split_address", lambda spark, sf_dir: tables.split_address_table(STREET[0](spark, sf_dir).withColumnRenamed("raw", "DscEndereco"), _MODEL))
 _pairs = lambda spark, sf_dir: _of("orders", ["o_orderpriority AS token", "o_orderstatus AS gold", f"{_GUESS} AS guess"])(spark, sf_dir)
 _add("top_errors", lambda spark, sf_dir: split.top_errors(_pairs(spark, sf_dir), ("token", "gold")), f"SELECT o_orderpriority AS token, o_orderstatus AS gold, count(*) AS n FROM orders WHERE o_orderstatus <> {_GUESS} GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20")
 _add(

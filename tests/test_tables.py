@@ -69,6 +69,13 @@ def test_sources(spark, tmp_path):
     assert rows(files.read_parquet(spark, str(tmp_path / "p"))) == rows(df)
 
 
+def test_golden_files(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("r a\nav b\nr a\n")
+    tables.save_snapshot(spark, str(tmp_path / "in.txt"), str(tmp_path / "golden"), "logr")
+    assert tables.check_snapshot(spark, str(tmp_path / "in.txt"), str(tmp_path / "golden"), "logr").isEmpty()
+    assert rows(tables.check_snapshot(spark, str(tmp_path / "in.txt"), str(tmp_path / "golden"), "bairro")) != []
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("av. a",), ("r b",)], "v string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("v string").parquet(str(tmp_path / "in"))
@@ -109,6 +116,13 @@ def test_splitting(spark):
     assert out[0].logradouro == "RUA AZUL" and "12" in out[0].numero and out[1].numero is None
     assert text.select(split.standardize_raw_address(F.col("DscEndereco"), model).alias("x")).first().x.startswith("RUA AZUL")
     assert model.to_rows()[0][2] >= model.to_rows()[-1][2]
+    kinds = split.kinds_with(model)
+    r = text.select(*[f(F.col("DscEndereco")).alias(k) for k, f in kinds.items()]).first()
+    assert r.completo.startswith("RUA AZUL") and '"logradouro":"RUA AZUL"' in r.separar and "SOL" in r.separar_padronizar
+    assert split.timing(text, "DscEndereco", model).first().features_us >= 0
+    assert split.tune(sample, (1, 3))[0][1] > 0.9
+    wrong = tagged.withColumn("predicted", F.reverse("predicted"))
+    assert 0 < split.error_samples(wrong, 3).count() <= 3
 
 
 def test_tokens(spark):
