@@ -28,31 +28,53 @@ def normalize_text(text: str) -> str:
 
 @cache
 def _tables() -> tuple[str, str, dict[str, str]]:
-    """Characters that decompose to one ASCII character, those, and those that give several."""
-    one, to, many = [], [], {}
+    """Characters that decompose to one ASCII character, those, and those that give several.
+
+    Latin letters and punctuation that give none come last in the first string, without a partner:
+    ``translate`` drops them. The rest of Unicode is left to a slower step that few texts need.
+    """
+    one, to, none, many = [], [], [], {}
     for k in range(128, sys.maxunicode + 1):
-        if 0xD800 <= k < 0xE000:
+        latin = k < 0x370 or 0x2000 <= k < 0x2070
+        if not latin and not unicodedata.decomposition(chr(k)):
             continue
         text = unicodedata.normalize("NFKD", chr(k)).encode("ascii", "ignore").decode("ascii")
         if len(text) == 1:
             one.append(chr(k)), to.append(text)
         elif text:
             many[chr(k)] = text
-    return "".join(one), "".join(to), many
+        elif latin:
+            none.append(chr(k))
+    return "".join(one + none), "".join(to), many
+
+
+def literal_map(table: dict[str, str]) -> Column:
+    """A constant map from one literal: a call for each entry would take longer than many a query."""
+    text = "\x02".join(f"{k}\x01{v}" for k, v in table.items())
+    return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x01"))
+
+
+def _bound(col: Column, f) -> Column:
+    """``f(col)``, with ``col`` computed once however often ``f`` uses it."""
+    return F.transform(F.array(col), f)[0]
 
 
 def normalize(col: Column, trim: bool = True) -> Column:
     """``normalize_text`` with built-in functions only. Null gives null.
 
     ASCII text takes the short way. Characters that decompose to one letter are translated; the few
-    that give several are looked up one by one, in texts that have any.
+    that give several are looked up one by one, in texts that still aren't ASCII then.
     """
     one, to, many = _tables()
-    spaces = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
-    c = F.regexp_replace(col, f"^[{spaces}]+|[{spaces}]+\\z", "") if trim else col
-    plain = F.translate(c, one, to)
-    some = "[" + "".join(f"\\x{{{ord(k):x}}}" for k in many) + "]"
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    wide = F.when(plain.rlike(some), F.array_join(F.transform(F.split(plain, ""), lambda x: F.when(x.rlike(some), F.element_at(table, x)).otherwise(x)), "")).otherwise(plain)
-    ascii_only = F.regexp_replace(wide, r"[^\x00-\x7F]", "")
-    return F.upper(F.when(c.rlike(r"^[\x00-\x7F]*\z"), c).otherwise(ascii_only))
+    ascii_only = r"^[\x00-\x7F]*\z"
+    table = literal_map(many)
+
+    def rare(v: Column) -> Column:
+        letters = F.transform(F.split(v, ""), lambda x: F.when(x.rlike(ascii_only), x).otherwise(F.coalesce(F.try_element_at(table, x), F.lit(""))))
+        return F.when(v.rlike(ascii_only), v).otherwise(F.array_join(letters, ""))
+
+    def fold(v: Column) -> Column:
+        return F.upper(F.when(v.rlike(ascii_only), v).otherwise(_bound(F.translate(v, one, to), rare)))
+
+    trimmed = F.btrim(col, F.lit(SPACES)) if trim else col
+    return F.when(col.isNotNull(), _bound(trimmed, fold))

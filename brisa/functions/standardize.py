@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brisa.functions import words
-from brisa.functions.normalize import normalize
+from brisa.functions.normalize import literal_map, normalize
 from brisa.lookup import state_keys
 from brisa.rules import builtin
 
@@ -101,7 +101,7 @@ def postcode_lenient(col: Column) -> Column:
 
 def _state(col: Column, field: int) -> Column:
     key = builtin("state").as_column(col)
-    table = F.create_map(*[F.lit(x) for pair in state_keys(field).items() for x in pair])
+    table = literal_map(state_keys(field))
     return F.when(col.isNotNull(), F.coalesce(F.try_element_at(table, key), F.lit("")))
 
 

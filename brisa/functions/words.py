@@ -52,7 +52,7 @@ def words_of(n: int) -> str:
 
 def number_to_words(col: Column) -> Column:
     """``words_of`` for 32-bit integers, with built-in functions only."""
-    small = F.array(*map(F.lit, SMALL))
+    small = F.split(F.lit("|".join(SMALL)), r"\|")  # a constant
     n = col.cast("bigint")
     word = lambda g: F.element_at(small, (g + 1).cast("int"))
 
