@@ -142,18 +142,25 @@ class Model:
     states: dict[str, dict[str, float]] = field(default_factory=dict)
     moves: dict[tuple[str, str], float] = field(default_factory=dict)
 
+    def _scores(self, feats: list[str]) -> dict[str, float]:
+        out = dict.fromkeys(self.tags, 0.0)
+        for f in feats:
+            for t, w in self.states.get(f, {}).items():
+                out[t] += w
+        return out
+
     def tag(self, feats: list[list[str]]) -> list[str]:
         """The best sequence (Viterbi). Ties go to the tag listed first."""
         if not feats:
             return []
-        best = [{t: sum(self.states.get(f, {}).get(t, 0.0) for f in feats[0]) for t in self.tags}]
+        best = [self._scores(feats[0])]
         back: list[dict[str, str]] = []
         for found in feats[1:]:
-            here, come = {}, {}
+            here, come = self._scores(found), {}
             for t in self.tags:
                 p = max(self.tags, key=lambda s: best[-1][s] + self.moves.get((s, t), 0.0))
                 come[t] = p
-                here[t] = best[-1][p] + self.moves.get((p, t), 0.0) + sum(self.states.get(f, {}).get(t, 0.0) for f in found)
+                here[t] += best[-1][p] + self.moves.get((p, t), 0.0)
             best.append(here), back.append(come)
         out = [max(self.tags, key=lambda t: best[-1][t])]
         for come in reversed(back):
@@ -212,7 +219,14 @@ def train(rows: Sequence[tuple[Sequence[str], Sequence[str]]], rounds: int = 5)
 def _tagger(model: Model):
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(tokens: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else model.tag(features(list(t))) for t in tokens], dtype=object)
+        seen: dict[tuple, list[str]] = {}  # addresses repeat
+        out = []
+        for t in tokens:
+            key = None if t is None else tuple(t)
+            if key is not None and key not in seen:
+                seen[key] = model.tag(features(key))
+            out.append(seen.get(key))
+        return pd.Series(out, dtype=object)
 
     return run
 
