@@ -57,8 +57,9 @@ def standardize_table(df: DataFrame, specs: Iterable[str], keep: Iterable[str] =
 
 def split_address_table(df: DataFrame, model, source: str = "DscEndereco", keep: bool = True) -> DataFrame:
     """Free-form addresses into their four fields, standardized."""
-    split = standardize_address(split_address(F.col(f"`{source}`").cast("string"), model))
-    out = df.select(F.col(f"`{source}`"), split.alias("__parts"))
+    # In steps, so that each Python function is planned once and not for every field.
+    out = df.select(F.col(f"`{source}`"), split_address(F.col(f"`{source}`").cast("string"), model).alias("__split"))
+    out = out.select(F.col(f"`{source}`"), standardize_address(F.col("__split")).alias("__parts"))
     return out.select(*([F.col(f"`{source}`")] if keep else []), *[F.col(f"__parts.{f}").alias(f) for f in FIELDS])
 
 
