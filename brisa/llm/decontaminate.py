@@ -20,7 +20,7 @@ Defined results
 - Items with fewer than ``LEAST_WORDS`` words or null ``item_id`` are not searched for; longer ones than
   ``STRIDE`` words are searched for in parts, any of which tells. A repeated ``item_id``: all its texts.
 - Ties between windows: the leftmost. An empty table on either side: no rows. Extra columns: not read.
-- A benchmark of more than ``ITEMS`` parts is searched for in several rounds of that many, so what is
+- A benchmark of more than ``ITEMS`` items is searched for in several rounds of that many, so what is
   sent to executors is bounded.
 """
 
@@ -40,12 +40,12 @@ from brisa.session import Scratch, ensure_importable
 
 STRIDE = 64
 RANK, OVERSAMPLE = 128, 16
-COSINE = 0.3
+COSINE = 0.2
 STRONG, WEAK, ANSWER = 0.75, 0.65, 0.8
 LEAST_WORDS = 8
 #: A shorter sentence than this is no answer: its words could be there by chance.
 LEAST_ANSWER = 4
-ITEMS = 2000
+ITEMS = 1000
 #: Terms in more than this share of the passages (and in ``COMMON`` of them) carry no weight.
 MAX_SHARE, COMMON = 0.05, 100
 _TOKENS = 120_000
@@ -285,6 +285,10 @@ def _search(shared):
     def run(batches):
         idf, basis, probes, items = shared.value
         scaled = basis * idf[:, None]
+        occurs = np.zeros((len(probes), len(idf)), dtype=np.uint8)  # how often probes have terms
+        for p, probe in enumerate(probes):
+            np.add.at(occurs[p], probe.ids, 1)
+        least = np.array([WEAK * len(p.ids) for p in probes])
         for part in _parts(batches, ("doc_id", "n", "at", "term")):
             _, term, block, size, first = _blocks(part)
             keep = idf[term] > 0
@@ -306,19 +310,26 @@ def _search(shared):
             cos = (win @ items.T) / np.maximum(norm, 1e-12)[:, None]
             ends = np.cumsum(size)
             out = []
-            for k, p in zip(*np.nonzero(cos >= COSINE)):
-                doc, probe = own[k], probes[p]
+            wk, wp = np.nonzero(cos >= COSINE)
+            runs = np.flatnonzero(np.r_[True, wk[1:] != wk[:-1]]) if len(wk) else []
+            for i, j in zip(runs, [*runs[1:], len(wk)]):
+                k, some = wk[i], wp[i:j]
+                doc, w0 = own[k], at_block[k]
                 lo, hi = ends[doc] - size[doc], ends[doc]
-                w0 = at_block[k]
                 a, z = np.searchsorted(block[lo:hi], [w0, w0 + 2])
-                seen = term[lo + a : lo + z].tolist()
-                n = lcs(probe.masks, len(probe.ids), seen)
-                ratio = n / len(probe.ids)
-                if ratio < WEAK:
-                    continue
-                found = lcs(probe.answer_masks, len(probe.answer), seen) >= ANSWER * len(probe.answer)
-                if ratio >= STRONG or found:
-                    out.append((part[doc][0], probe.item, int(w0 - first[doc]) * STRIDE, float(cos[k, p]), n, ratio, found))
+                seen = term[lo + a : lo + z]
+                # No common subsequence is longer than the number of words that occur at all.
+                distinct = list(set(seen.tolist()))
+                at_most = occurs[some[:, None], distinct].sum(1, dtype=np.int32)
+                for p in some[at_most >= least[some]]:
+                    probe = probes[p]
+                    n = lcs(probe.masks, len(probe.ids), seen.tolist())
+                    ratio = n / len(probe.ids)
+                    if ratio < WEAK:
+                        continue
+                    found = lcs(probe.answer_masks, len(probe.answer), seen.tolist()) >= ANSWER * len(probe.answer)
+                    if ratio >= STRONG or found:
+                        out.append((part[doc][0], probe.item, int(w0 - first[doc]) * STRIDE, float(cos[k, p]), n, ratio, found))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
