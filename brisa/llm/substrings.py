@@ -105,16 +105,15 @@ def _segments(batches):
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by at least their first ``depth`` symbols (prefix doubling)."""
     n = len(text)
-    rank = text.astype(np.int64) + 1
-    h = 0
+    rank, h = text.astype(np.int64) + 1, 1
     while True:
-        key = rank if h == 0 else rank * (int(rank.max()) + 1) + np.r_[rank[h:], np.zeros(min(h, n), np.int64)]
-        order = np.argsort(key, kind="stable" if h == 0 else "quicksort")
-        step = np.r_[True, key[order[1:]] != key[order[:-1]]]
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(step)
-        rank = new
-        h = 1 if h == 0 else 2 * h
+        key = rank * (int(rank.max()) + 1)
+        key[: max(0, n - h)] += rank[h:]
+        order = np.argsort(key)
+        ranked = key[order]
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]])
+        h *= 2
         if h >= depth or rank[order[-1]] == n:
             return order
 
