@@ -67,10 +67,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
-
-
-def starts_of(groups: np.ndarray) -> np.ndarray:
-    """Indices at which a new run of equal values begins."""
-    if not len(groups):
-        return np.zeros(0, dtype=np.int64)
-    return np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
