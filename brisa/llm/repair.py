@@ -1,8 +1,8 @@
 """Operator 8, token-id output: Re-Pair grammar compression.
 
 Method: Re-Pair. Documents are tokenized and gathered into shards; in each shard the most frequent
-pairs of adjacent ids are replaced by new nonterminals, again and again, until no frequent pair is
-left (see ``LEAST_GAIN``). Pairs never cross documents. Rules are stored with the length of their expansion, so a
+pairs of adjacent ids are replaced by new nonterminals, again and again, until no pair is frequent
+enough. Pairs never cross documents. Rules are stored with the length of their expansion, so a
 range of a document's ids is decoded without expanding what lies before it.
 
 Rows: one of kind ``doc`` for each document (``symbols``: little-endian, ``width`` bytes each) and
@@ -30,7 +30,8 @@ from brisa.session import ensure_importable
 SHARD_CHARS = 4_000_000
 #: A pair seen less often in a shard is left alone: a rule takes 12 bytes.
 MIN_COUNT = 16
-#: The last rounds count pairs one by one; they end when a round shortens the shard by less than this.
+#: When a round shortens the shard by less than this, the next ones take rarer pairs, at last counting
+#: them one by one, which goes on until there is none.
 LEAST_GAIN = 0.001
 SCHEMA = "shard_id bigint, kind string, pos int, doc_id bigint, n_tokens bigint, width int, symbols binary, first_id int, rules binary, lengths binary"
 _BITS = 18
@@ -89,9 +90,9 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, limit: int, min_co
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         nxt += len(good)
         if len(at) <= LEAST_GAIN * len(seq):  # little came of it: go on to rarer pairs, then one by one
-            if least == min_count and exact:
+            if exact and not len(good):
                 break
-            least, exact = max(min_count, least // _STEP), least == min_count
+            least, exact = max(min_count, least // _STEP), exact or least == min_count
     return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
