@@ -7,8 +7,13 @@ distance to the centre on that strip) is at most ``WEIGHT``. Lists are filtered
 strip until they are small, then compared by brute force. The number of centres makes a pair at
 ``DISTANCE`` share one list a level on average; repetitions bring its recall to ``RECALL``.
 
+Pairs at up to ``SURE`` are near-duplicates. Between ``SURE`` and ``DISTANCE`` lie edited copies and,
+the more so the larger the table, texts that have little in common; such a pair counts if its shingles'
+Jaccard, taken exactly from both texts, is at least ``OVERLAP``.
+
 The first levels route fingerprints to lists in one shuffle, the rest run inside a list's task. Lists
-report spanning forests of the pairs they find, never all pairs; components of these are groups.
+report spanning forests of the sure pairs they find, never all of them, and the unsure pairs that these
+leave apart; components are groups.
 
 Rows of ``groups``: ``doc_id, group_id, group_size, keep``. ``group_id``: the group's smallest
 ``doc_id``, which is the one that is kept. A row for each document.
@@ -39,28 +44,41 @@ from brisa.session import Scratch, ensure_importable
 BITS, STRIPS = 256, 4
 STRIP = BITS // STRIPS
 SHINGLE = 3
-#: Fingerprints differing in at most so many bits are near-duplicates: shingles' Jaccard about 0.63.
-DISTANCE = 56
-WEIGHT = 22
+#: Fingerprints differing in at most so many bits are compared: shingles' Jaccard about 0.43.
+DISTANCE = 76
+#: Up to so many, they are near-duplicates without a look at the texts: Jaccard about 0.63.
+SURE = 56
+#: The least Jaccard of the shingles of a pair beyond ``SURE``.
+OVERLAP = 0.45
+WEIGHT = 23
 RECALL = 0.95
 #: A list of up to this many is compared by brute force.
 LEAF = 256
+#: Lists from this size on are compared as matrices, smaller ones many at once.
+DENSE = 48
 #: Lists are routed through a shuffle until they are expected to hold no more than this.
 LIST = 2_000_000
 _SEED = 20_240_229
 _TABLE = WordHash()
 
 
-def simhash_of(ids: np.ndarray) -> bytes | None:
-    """The fingerprint of a text's hashed words; none without a word."""
+def shingles_of(ids: np.ndarray) -> np.ndarray:
+    """The distinct shingles of a text's hashed words, sorted."""
     if not len(ids):
-        return None
+        return np.zeros(0, dtype=np.uint64)
     w = ids.astype(np.uint64)
     n = max(1, len(w) - SHINGLE + 1)
     h = np.zeros(n, dtype=np.uint64)
     for k in range(min(SHINGLE, len(w))):
         h = mix(h + w[k : k + n]) + np.uint64(k + 1)
-    h = np.unique(h)
+    return np.unique(h)
+
+
+def simhash_of(ids: np.ndarray) -> bytes | None:
+    """The fingerprint of a text's hashed words; none without a word."""
+    if not len(ids):
+        return None
+    h = shingles_of(ids)
     count = np.zeros(BITS, dtype=np.int64)
     for a in range(0, len(h), 1 << 14):
         part = h[a : a + (1 << 14)]
@@ -79,6 +97,27 @@ def simhash(texts: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+@F.pandas_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("shingles", T.BinaryType())]))
+def shingles(texts: pd.Series) -> pd.DataFrame:
+    """The fingerprint and the sorted shingles of a text column."""
+    out: list[tuple[bytes | None, bytes]] = []
+    for part in chunked(((t or "",) for t in texts), lambda r: len(r[0])):
+        ids, ends = word_ids([t for (t,) in part], _TABLE)
+        out += [(simhash_of(ids[a:b]), shingles_of(ids[a:b]).tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return pd.DataFrame(out, columns=["fp", "shingles"], dtype=object)
+
+
+@F.pandas_udf(T.DoubleType())
+def jaccard(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Jaccard of two columns of sorted shingles."""
+    out = []
+    for a, b in zip(first, second):
+        x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / max(1, len(x) + len(y) - both))
+    return pd.Series(out, dtype=float)
+
+
 def pass_both(d: int, weight: int = WEIGHT, n: int = STRIP) -> float:
     """The chance that a random centre on a strip keeps both of two fingerprints ``d`` apart there."""
     total = 0
@@ -115,9 +154,10 @@ def centres_of(rep: int, path: int, level: int, n: int) -> np.ndarray:
 def members(strip: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(centre, member) of all lists, by centre."""
     cs, ms = [], []
-    step = max(1, 4_000_000 // max(1, len(strip)))
+    step = max(1, 100_000 // max(1, len(strip)))  # what is at work stays in the processor's cache
     for a in range(0, len(centres), step):
-        c, m = np.nonzero(np.bitwise_count(strip[None, :] ^ centres[a : a + step, None]) <= WEIGHT)
+        near = np.bitwise_count(strip[None, :] ^ centres[a : a + step, None]) <= WEIGHT
+        c, m = np.divmod(np.flatnonzero(near), max(1, len(strip)))
         cs.append(c + a), ms.append(m)
     return np.concatenate(cs), np.concatenate(ms)
 
@@ -145,15 +185,13 @@ def _route(levels: int, centres: int, reps: int):
     return run
 
 
-def close_pairs(words: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Which of the pairs are within ``DISTANCE``."""
-    out = np.zeros(len(first), dtype=bool)
+def distances(words: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The distances of pairs."""
+    out = np.zeros(len(first), dtype=np.uint16)
     for a in range(0, len(first), 1 << 20):
         i, j = first[a : a + (1 << 20)], second[a : a + (1 << 20)]
-        d = np.zeros(len(i), dtype=np.uint16)
         for k in range(words.shape[1]):
-            d += np.bitwise_count(words[i, k] ^ words[j, k])
-        out[a : a + (1 << 20)] = d <= DISTANCE
+            out[a : a + (1 << 20)] += np.bitwise_count(words[i, k] ^ words[j, k])
     return out
 
 
@@ -175,11 +213,49 @@ def forest(n: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _brute(words: np.ndarray, group: np.ndarray, member: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Roots after comparing all members of each group (sorted by group); only pairs not yet joined."""
+def _dense(words: np.ndarray, member: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A list compared as a matrix: a forest of the pairs within ``sure``, and the other pairs it leaves apart."""
+    w = np.ascontiguousarray(words[member].T)
+    n = len(member)
+    root, wide = np.arange(n), [np.zeros((2, 0), np.int64)]
+    step = min(n, max(1, 32_000 // n))
+    for a in range(0, n, step):
+        d = np.zeros((min(step, n - a), n - a), dtype=np.uint16)
+        for x in w:
+            d += np.bitwise_count(x[a : a + step, None] ^ x[None, a:])
+        i, j = np.divmod(np.flatnonzero(d <= DISTANCE), n - a)
+        i, j = i[j > i], j[j > i]
+        near = d[i, j] <= sure
+        i, j = i + a, j + a
+        if near.any():
+            root = forest(n, np.r_[np.arange(n), i[near]], np.r_[root, j[near]])
+        wide.append(np.stack([i[~near], j[~near]]))
+    i, j = np.concatenate(wide, 1)
+    apart = root[i] != root[j]
+    moved = np.flatnonzero(root != np.arange(n))
+    return member[moved], member[root[moved]], member[i[apart]], member[j[apart]]
+
+
+def _brute(words: np.ndarray, group: np.ndarray, member: np.ndarray, root: np.ndarray, wide: list, sure: int) -> np.ndarray:
+    """Roots after comparing all members of each group (sorted by group); only pairs not yet joined.
+
+    Pairs beyond ``sure`` are added to ``wide``.
+    """
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[start, len(group)])
-    place = np.arange(len(group)) - np.repeat(start, size)
+    joined = []
+    for a, n in zip(start[size >= DENSE].tolist(), size[size >= DENSE].tolist()):
+        i, j, k, l = _dense(words, member[a : a + n], sure)
+        joined.append((i, j)), wide.append((k, l))
+    if joined:
+        i, j = (np.concatenate(x) for x in zip(*joined))
+        root = forest(len(root), np.r_[np.arange(len(root)), i], np.r_[root, j])
+    few = np.repeat(size < DENSE, size)
+    member, size = member[few], size[size < DENSE]
+    if not len(member):
+        return root
+    start = np.cumsum(size) - size
+    place = np.arange(len(member)) - np.repeat(start, size)
     left = np.repeat(size, size) - place - 1  # partners after each member
     block, bounds = 0, np.searchsorted(np.cumsum(left), np.arange(2_000_000, left.sum() + 2_000_000, 2_000_000))
     for stop in [*bounds.tolist(), len(left)]:
@@ -192,30 +268,42 @@ def _brute(words: np.ndarray, group: np.ndarray, member: np.ndarray, root: np.nd
         a, b = member[i], member[j]
         apart = root[a] != root[b]
         a, b = a[apart], b[apart]
-        near = close_pairs(words, a, b)
+        d = distances(words, a, b)
+        near = d <= sure
         if near.any():
             root = forest(len(root), np.r_[np.arange(len(root)), a[near]], np.r_[root, b[near]])
+        far = (d > sure) & (d <= DISTANCE)
+        wide.append((a[far], b[far]))
         block = stop
     return root
 
 
-def search(raw: np.ndarray, rep: int, path: int, level: int, levels: int, centres: int) -> np.ndarray:
-    """Roots of a list's members: the recursion inside a task."""
+def find(raw: np.ndarray, rep: int, path: int, level: int, levels: int, centres: int, sure: int = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Roots of a list's members by sure pairs, and the unsure pairs between them: the recursion inside a task."""
     words, strips = raw.view(np.uint64), permuted(raw, rep)
-    root = np.arange(len(raw))
+    root, wide = np.arange(len(raw)), []
     todo = [(np.arange(len(raw)), path, level)]
     while todo:
         at, path, level = todo.pop()
         if len(at) <= LEAF or level >= levels:
-            root = _brute(words, np.zeros(len(at), np.int64), at, root)
+            root = _brute(words, np.zeros(len(at), np.int64), at, root, wide, sure)
             continue
         c, m = members(strips[at, level], centres_of(rep, path, level, centres))
         size = np.bincount(c, minlength=centres)
         small = (size <= LEAF)[c] | (level + 1 >= levels)
         if small.any():
-            root = _brute(words, c[small], at[m[small]], root)
+            root = _brute(words, c[small], at[m[small]], root, wide, sure)
         todo += [(at[m[c == big]], path * centres + int(big), level + 1) for big in np.unique(c[~small])]
-    return root
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*wide) if wide else ((), ())))
+    key = np.unique(np.minimum(a, b) * len(raw) + np.maximum(a, b))
+    a, b = key // max(1, len(raw)), key % max(1, len(raw))
+    apart = root[a] != root[b]
+    return root, a[apart], b[apart]
+
+
+def search(raw: np.ndarray, rep: int, path: int, level: int, levels: int, centres: int) -> np.ndarray:
+    """Roots of a list's members if all pairs within ``DISTANCE`` counted."""
+    return find(raw, rep, path, level, levels, centres, DISTANCE)[0]
 
 
 def _search(routed: int, levels: int, centres: int):
@@ -223,20 +311,21 @@ def _search(routed: int, levels: int, centres: int):
         rep, path = table["rep"][0].as_py(), table["path"][0].as_py()
         node = table["node"].to_numpy()
         raw = np.frombuffer(b"".join(table["fp"].to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
-        root = search(raw, rep, path, routed, levels, centres)
+        root, a, b = find(raw, rep, path, routed, levels, centres)
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": node[moved], "b": node[root[moved]]})
+        sure = np.r_[np.ones(len(moved), bool), np.zeros(len(a), bool)]
+        return pa.table({"a": np.r_[node[moved], node[a]], "b": np.r_[node[root[moved]], node[b]], "sure": sure})
 
     return run
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataFrame:
     """``node, root``: connected components by alternating large and small stars; roots are smallest.
 
     Every round's edges are a written table, which cuts the lineage.
     """
     both = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct()
-    now, k = scratch.put(both, "edges0"), 0
+    now, k = scratch.put(both, f"{name}0"), 0
     while True:
         seen = now.select("v", "u").union(now.select("u", "v")).toDF("v", "u")
         low = F.least(F.col("v"), F.min("u").over(Window.partitionBy("v")))
@@ -245,15 +334,27 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.withColumn("m", least)
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").union(small.select("v", F.col("m").alias("u"))).distinct()
         k += 1
-        new = scratch.put(small, f"edges{k}")
+        new = scratch.put(small, f"{name}{k}")
         stats = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u") % 1_000_003).alias("h")).first()
         same = stats(new) == stats(now)
-        scratch.drop(f"edges{k - 1}")
+        scratch.drop(f"{name}{k - 1}")
         now = new
         if same:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
+def overlapping(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of pairs ``a, b`` of nodes, those whose texts' shingles overlap enough."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = scratch.put(nodes.join(wanted, "node").select("node", "first_id"), "wanted")
+    texts = with_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted.select("first_id"))
+    texts = texts.select("doc_id", shingles("text").alias("s")).select(F.col("doc_id").alias("first_id"), F.xxhash64("s.fp").alias("node"), "s.shingles")
+    # A repeated doc_id may bring other texts; the node tells them apart.
+    texts = scratch.put(texts.join(wanted, ["first_id", "node"]).select("node", "shingles").dropDuplicates(["node"]), "shingles")
+    first, second = texts.toDF("a", "first"), texts.toDF("b", "second")
+    return pairs.join(first, "a").join(second, "b").where(jaccard("first", "second") >= OVERLAP).select("a", "b")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """Every document's group of near-duplicates (see above)."""
     return _assign(docs).select("doc_id", "group_id", "group_size", "keep")
@@ -269,8 +370,14 @@ def _assign(docs: DataFrame) -> DataFrame:
     nodes = scratch.put(known.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
     levels, routed, centres, reps = plan(nodes.count())
     lists = nodes.select("node", "fp").mapInArrow(_route(routed, centres, reps), "rep int, path bigint, node bigint, fp binary")
-    edges = lists.groupBy("rep", "path").applyInArrow(_search(routed, levels, centres), "a bigint, b bigint")
-    roots = components(edges, scratch)
+    edges = scratch.put(lists.groupBy("rep", "path").applyInArrow(_search(routed, levels, centres), "a bigint, b bigint, sure boolean"), "pairs")
+    roots = components(edges.where("sure").select("a", "b"), scratch)
+    of = lambda side: roots.toDF(side, f"root_{side}")
+    unsure = edges.where("NOT sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    unsure = unsure.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
+    more = overlapping(scratch.put(unsure.select("a", "b"), "unsure"), nodes, docs, scratch)
+    roots = components(roots.toDF("a", "b").unionByName(more), scratch, "wider")
+    scratch.drop("pairs", "unsure", "wanted", "shingles")
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_group = joined.groupBy("root").agg(F.min("first_id").alias("group_id"), F.sum("n").alias("group_size"))
     named = joined.select("node", "root").join(of_group, "root").select("node", "group_id", "group_size")

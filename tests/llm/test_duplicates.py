@@ -41,6 +41,32 @@ def test_groups_against_brute_force(spark):
     assert all(root[x] == root[got[x]] for x in got)  # nothing is joined that brute force keeps apart
 
 
+def test_near_copies_by_overlap(spark):
+    """Copies edited so much that many fingerprints differ in more than ``SURE`` bits; the texts decide."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    texts = []
+    for k in range(200):
+        ws = [rng.choice(vocab) for _ in range(rng.randint(30, 200))]
+        other = list(ws)
+        for i in range(rng.randint(0, 5), len(other), rng.choice([6, 8, 10, 12, 14])):
+            other[i] = rng.choice(vocab)
+        texts += [" ".join(ws), " ".join(other)]
+    shingles = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (words(t) for t in texts)]
+    overlap = np.array([len(shingles[k] & shingles[k + 1]) / len(shingles[k] | shingles[k + 1]) for k in range(0, 400, 2)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = docs.select("doc_id", neardup.simhash("text").alias("fp")).orderBy("doc_id").collect()
+    w = np.stack([np.frombuffer(r.fp, np.uint64) for r in rows])
+    d = np.bitwise_count(w[::2] ^ w[1::2]).sum(1)
+    got = {r.doc_id: r.group_id for r in neardup.groups(docs).collect()}
+    joined = np.array([got[k] == got[k + 1] for k in range(0, 400, 2)])
+    near = overlap >= 0.45
+    assert (near & (d > 56)).sum() > 40 and joined[near].mean() >= 0.9
+    less = (overlap < neardup.OVERLAP) & (d > neardup.SURE) & (d <= neardup.DISTANCE)
+    assert less.sum() > 10 and not joined[less].any()
+    assert all(got[k] // 2 == k // 2 for k in got)  # unrelated texts stay apart
+
+
 def test_recursion_recall():
     """Pairs at the design distance, among many fingerprints, in lists of several levels."""
     rng = np.random.default_rng(2)
