@@ -38,6 +38,10 @@ SCHEMA = "doc_id bigint, rule string, start int, end int, secret string, checksu
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
+#: Header lines of a PEM block, with continuation lines.
+_HEADERS = r"\s*(?:[A-Za-z][A-Za-z0-9-]*:(?:(?!-----)[^\n])*(?:\n[ \t](?:(?!-----)[^\n])*)*\n)+"
+
+
 def crc32_base62(body: str, width: int = 6) -> str:
     """CRC-32 of ``body`` in base 62, as token formats with a checksum end with it."""
     n, out = zlib.crc32(body.encode("utf-8")), ""
@@ -60,13 +64,18 @@ def _jwt(secret: str) -> bool:
         return False
 
 
-def _pem(secret: str) -> bool:
-    body = re.sub(r"-----[^-]+-----|\s", "", secret)
+def _pem(secret: str) -> bool | None:
+    body = re.sub(r"-----[^-]+-----", "", secret)
+    headers = re.match(_HEADERS, body)
+    body = re.sub(r"\s", "", body[headers.end() :] if headers else body)
     try:
         raw = base64.b64decode(body, validate=True)
     except ValueError:
         return False
-    return raw[:1] == b"\x30"  # an ASN.1 sequence, or the file was cut or edited
+    if headers and "ENCRYPTED" in headers[0]:
+        return None if raw else False  # the structure is encrypted, too
+    # An ASN.1 sequence or OpenSSH's own format, or the file was cut or edited.
+    return raw[:1] == b"\x30" or raw.startswith(b"openssh-key-v1\0")
 
 
 def _base32(secret: str) -> bool:
@@ -89,6 +98,8 @@ class Rule:
     pattern: str
     checksum: str = "none"
     least_entropy: float = 0.0
+    #: Masked even if the check fails.
+    always: bool = False
 
 
 CHECKS = {"crc32-base62": _crc, "jwt-header": _jwt, "asn1": _pem, "base32-length": _base32}
@@ -101,7 +112,7 @@ RULES = (
     Rule("payment_api_key", ("sk_live_", "rk_live_"), _L + r"([sr]k_live_[0-9A-Za-z]{24,99})" + _R),
     Rule("maps_api_key", ("aiza",), _L + r"(AIza[0-9A-Za-z_\-]{35})(?![0-9A-Za-z_\-])"),
     Rule("jwt", ("eyj",), _L + r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "jwt-header"),
-    Rule("private_key", ("-----begin ",), r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----)", "asn1"),
+    Rule("private_key", ("-----begin ",), r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:" + _HEADERS + r")?[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----)", "asn1", always=True),
     Rule("assigned_secret", ("token", "secret", "api_key", "api-key", "apikey", "password", "passwd", "access_key"), r"""(?i:token|secret|api[_-]?key|password|passwd|access_key)["']?\s{0,3}(?::=|=>|[:=])\s{0,3}["']([0-9A-Za-z_\-/+.=]{16,512})["']""", least_entropy=2.5),
 )
 
@@ -182,6 +193,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each finding replaced by ``MASK``, but those whose checksum fails.
 
+    Private keys are masked whatever their check says: a block that was cut still gives a key away.
+
     Other columns stay; ``n_chars`` is set anew. Documents without a finding are unchanged.
     """
     ensure_importable(docs.sparkSession)
@@ -190,7 +203,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def clean(texts):
         find, out = scanner().find, []
         for t in texts:
-            hits = [h for h in find(t) if h[4] is not False] if t else []
+            hits = [h for h in find(t) if h[4] is not False or RULES[h[2]].always] if t else []
             for s, e, *_ in reversed(hits):
                 t = t[:s] + MASK + t[e:]
             out.append(t)

@@ -1,5 +1,6 @@
 """Secrets, licenses: against brute force."""
 
+import base64
 import random
 import re
 import string
@@ -31,6 +32,25 @@ def test_structures():
     assert secrets._pem("-----BEGIN PRIVATE KEY-----\nMIIB\n-----END PRIVATE KEY-----") and not secrets._pem("-----BEGIN PRIVATE KEY-----\n!!\n-----END PRIVATE KEY-----")
 
 
+def test_private_keys_are_masked(spark):
+    """OpenSSH keys, encrypted keys with header lines, keys that fail the check."""
+    rng = random.Random(5)
+    body = lambda head, n=300: base64.encodebytes(head + rng.randbytes(n)).decode()
+    block = lambda label, text: f"-----BEGIN {label}PRIVATE KEY-----\n{text}-----END {label}PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    keys = [
+        (block("OPENSSH ", body(b"openssh-key-v1\0")), True),
+        (block("RSA ", headers + body(b"\x99")), None),
+        (block("RSA ", headers.replace("\n", "\r\n") + body(b"\x99")), None),
+        (block("", body(b"\x30")), True),
+        (block("EC ", body(b"\x31")), False),
+    ]
+    docs = spark.createDataFrame([(k, f"before {key} after") for k, (key, _) in enumerate(keys)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert [(found[k].rule, found[k].valid, found[k].end - found[k].start) for k in range(len(keys))] == [("private_key", ok, len(key)) for key, ok in keys]
+    assert {r.text for r in secrets.redact(docs).collect()} == {f"before {secrets.MASK} after"}
+
+
 def test_same_as_searching_everywhere():
     """The prefilter loses nothing: each rule's expression over the whole text finds no more."""
     rng, scan = random.Random(3), secrets.Scanner()
