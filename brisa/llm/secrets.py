@@ -104,16 +104,19 @@ class Rule:
 
 CHECKS = {"crc32-base62": _crc, "jwt-header": _jwt, "asn1": _pem, "base32-length": _base32}
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_ASSIGNED = ("token", "secret", "api_key", "api-key", "apikey", "password", "passwd", "access_key")
 RULES = (
     Rule("forge_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), _L + r"(gh[pousr]_[A-Za-z0-9]{36})" + _R, "crc32-base62"),
     Rule("package_registry_token", ("npm_",), _L + r"(npm_[A-Za-z0-9]{36})" + _R, "crc32-base62"),
     Rule("cloud_access_key", ("akia", "asia"), _L + r"(A[KS]IA[A-Z2-7]{16})" + _R, "base32-length"),
-    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(xox[abprs]-[0-9A-Za-z-]{20,200})"),
-    Rule("payment_api_key", ("sk_live_", "rk_live_"), _L + r"([sr]k_live_[0-9A-Za-z]{24,99})" + _R),
+    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(xox[abprs]-[0-9A-Za-z-]{20,})"),
+    Rule("payment_api_key", ("sk_live_", "rk_live_"), _L + r"([sr]k_live_[0-9A-Za-z]{24,})" + _R),
     Rule("maps_api_key", ("aiza",), _L + r"(AIza[0-9A-Za-z_\-]{35})(?![0-9A-Za-z_\-])"),
     Rule("jwt", ("eyj",), _L + r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "jwt-header"),
     Rule("private_key", ("-----begin ",), r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:" + _HEADERS + r")?[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----)", "asn1", always=True),
-    Rule("assigned_secret", ("token", "secret", "api_key", "api-key", "apikey", "password", "passwd", "access_key"), r"""(?i:token|secret|api[_-]?key|password|passwd|access_key)["']?\s{0,3}(?::=|=>|[:=])\s{0,3}["']([0-9A-Za-z_\-/+.=]{16,512})["']""", least_entropy=2.5),
+    Rule("assigned_secret", _ASSIGNED, r"""(?i:token|secret|api[_-]?key|password|passwd|access_key)["']?\s{0,3}(?::=|=>|[:=])\s{0,3}["']([0-9A-Za-z_\-/+.=]{16,})["']""", least_entropy=2.5),
+    # Names and paths in code look much like it; the floor keeps most of them out.
+    Rule("unquoted_secret", _ASSIGNED, r"""(?i:token|secret|api[_-]?key|password|passwd|access_key)\s{0,3}[:=][^\S\n]{0,3}([0-9A-Za-z_\-/+.=]{16,}+)(?!\S)""", least_entropy=3.5),
 )
 
 

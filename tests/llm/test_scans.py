@@ -51,6 +51,20 @@ def test_private_keys_are_masked(spark):
     assert {r.text for r in secrets.redact(docs).collect()} == {f"before {secrets.MASK} after"}
 
 
+def test_long_and_unquoted_secrets():
+    rng, find = random.Random(6), secrets.Scanner().find
+    chars = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    for before, secret, after in [
+        ('token = "', chars(700), '"'),
+        ("", "xoxb-" + chars(400), " "),
+        ("", "sk_live_" + chars(150), " "),
+        ("API_KEY=", chars(32), "\n"),
+        ("password: ", chars(24), ""),
+    ]:
+        assert [h[3] for h in find(f"x {before}{secret}{after}")] == [secret]
+    assert not find("token = tokens[0] secret: aaaaaaaabbbbbbbbcccccccc password = get_password(user) token=\n" + chars(30))
+
+
 def test_same_as_searching_everywhere():
     """The prefilter loses nothing: each rule's expression over the whole text finds no more."""
     rng, scan = random.Random(3), secrets.Scanner()
