@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brisa.llm.rows import without_ids
+from brisa.llm.rows import by_row, numbered, without_rows
 from brisa.llm.text import WORD, chunked, words
 from brisa.session import Scratch, ensure_importable
 
@@ -391,6 +391,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+    """The documents that hold no benchmark item, with all their columns; each row is judged by itself."""
     scratch = Scratch(docs.sparkSession)
-    return without_ids(docs, scratch.put(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaking"))
+    rows = numbered(docs, scratch)
+    return without_rows(rows, scratch.put(find_leaks(by_row(rows), benchmark).select("doc_id").distinct(), "leaking"))

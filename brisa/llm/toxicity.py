@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brisa.llm.rows import without_ids
+from brisa.llm.rows import by_row, numbered, without_rows
 from brisa.llm.text import WORD, chunked, mix
 from brisa.session import Scratch, ensure_importable
 
@@ -248,9 +248,12 @@ def _scores_by_join(docs: DataFrame, delta: DataFrame, scratch: Scratch) -> Data
 
 def score(docs: DataFrame, labels: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Every document's score and whether it is toxic (see above)."""
+    scratch = Scratch(docs.sparkSession)
+    return _scores(docs, evidence(docs, labels, scratch), scratch, margin)
+
+
+def _scores(docs: DataFrame, delta: DataFrame, scratch: Scratch, margin: float) -> DataFrame:
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    delta = evidence(docs, labels, scratch)
     if delta.count() <= BROADCAST_GRAMS:
         table = delta.toArrow()
         codes = np.frombuffer("".join(table["gram"].to_pylist()).encode("utf-32-le"), dtype=np.uint32).reshape(-1, ORDER + 1)
@@ -262,6 +265,8 @@ def score(docs: DataFrame, labels: DataFrame, margin: float = MARGIN) -> DataFra
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't toxic, with all their columns."""
+    """The documents that aren't toxic, with all their columns; each row is judged by itself."""
     scratch = Scratch(docs.sparkSession)
-    return without_ids(docs, scratch.put(score(docs, labels).where("toxic").select("doc_id").distinct(), "toxic"))
+    rows = numbered(docs, scratch)
+    found = _scores(by_row(rows), evidence(rows, labels, scratch), scratch, MARGIN)
+    return without_rows(rows, scratch.put(found.where("toxic").select("doc_id"), "toxic"))

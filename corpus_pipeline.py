@@ -4,9 +4,9 @@ Every stage is written as Parquet and read again as the next one's documents. Al
 the columns of ``documents``; the first three drop documents, the fourth masks secrets in texts, the
 last cuts the token ids of what is left into windows.
 
-Nulls, repeated rows, empty tables and extra columns: as the operators' docstrings say. A document
-with a null ``doc_id`` can't be rejected by a filter and stays; one with a null text stays until
-packing, which has nothing to pack of it.
+Nulls, repeated rows, empty tables and extra columns: as the operators' docstrings say. Toxic and
+leaking rows go by themselves, whatever their ``doc_id``; of near-duplicates, a row with a null
+``doc_id`` stays. A null text stays until packing, which has nothing to pack of it.
 """
 
 from __future__ import annotations

@@ -155,3 +155,19 @@ def test_singular_vectors():
     decontaminate.accumulate(z, *s, w)
     assert np.allclose(z, a.T @ (a @ w), atol=1e-3)
     assert np.allclose(decontaminate.project(*s, w), a @ w, atol=1e-4)
+
+
+def test_rows_are_rejected_by_themselves(spark):
+    """Null and shared ids: what leaks or is toxic goes, and nothing else."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item = make(30)
+    leak, bad = make(40) + " " + item + " " + make(40), " ".join(["zzqqxx wwkkyy vvjjhh"] * 12)
+    rows = [(k, make(60)) for k in range(60)] + [(100 + k, bad + " " + make(5)) for k in range(20)]
+    labels = spark.createDataFrame([(k, 0) for k in range(60)] + [(100 + k, 1) for k in range(20)], "doc_id bigint, toxic int")
+    docs = lambda more: spark.createDataFrame(rows + more, "doc_id bigint, text string")
+    left = toxicity.reject(docs([(None, bad), (None, "clean " + item), (500, bad), (500, "other " + item)]), labels).collect()
+    assert sorted(r.text for r in left) == sorted([t for k, t in rows if k < 100] + ["clean " + item, "other " + item])
+    left = decontaminate.remove_leaks(docs([(None, leak), (None, bad), (500, leak), (500, bad)]), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert sorted(r.text for r in left) == sorted([t for _, t in rows] + [bad, bad])
