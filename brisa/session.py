@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,16 +42,39 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+#: Lists that new scratch folders are added to (see ``collecting``).
+_COLLECTING: list[list["Scratch"]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[None]:
+    """Closes, at the end, every scratch folder opened inside: for eager steps whose result is written."""
+    opened: list[Scratch] = []
+    _COLLECTING.append(opened)
+    try:
+        yield
+    finally:
+        _COLLECTING.remove(opened)
+        for scratch in opened:
+            scratch.close()
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs only its own tasks.
 
     ``put`` runs a plan once and gives back a scan of what it wrote; ``drop`` deletes tables whose
-    last reader has run. What a returned, lazy DataFrame reads stays until ``close``.
+    last reader has run. What a returned, lazy DataFrame reads stays until ``close``, at the latest
+    until the driver's JVM ends, which deletes the folder.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/brisa-{uuid.uuid4().hex}"
+        fs, path = _fs(spark, self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        for opened in _COLLECTING:
+            opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
