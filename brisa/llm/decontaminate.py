@@ -6,7 +6,9 @@ benchmark's vocabulary. A distributed randomised SVD finds their leading right s
 matrix of ``A Q`` is summed and its eigenvectors rotate ``Q``. Corpus and benchmark weigh alike, or the
 few benchmark passages would vanish in the corpus. Every window of two blocks is then projected and
 compared with every benchmark passage by cosine; candidates are held against the longest common
-subsequence of words and an answer check, in the same task.
+subsequence of words and an answer check, in the same task. Weights and basis are those of the whole
+benchmark. Beside the cosine, a passage is a candidate wherever ``LEAST_WORDS`` of its words stand in a
+row, so that copies are found however common their words are or become.
 
 A passage counts as leaked if ``lcs_ratio >= STRONG``, or ``>= WEAK`` and the answer (the benchmark
 passage's last sentence) is there: ``ANSWER`` of its words in order.
@@ -18,10 +20,13 @@ Defined results
 - Null or empty texts leak nothing. Null ``doc_id``: no row (nothing could be named). Repeated rows
   with one ``doc_id`` are one document's windows. Very long texts are read whole.
 - Items with fewer than ``LEAST_WORDS`` words or null ``item_id`` are not searched for; longer ones than
-  ``STRIDE`` words are searched for in parts, any of which tells. A repeated ``item_id``: all its texts.
+  ``STRIDE`` words are searched for in parts, any of which tells, and their answer is looked for in as many
+  words around a window as the item has. A repeated ``item_id``: all its texts.
+- A passage in any number of documents, up to all of them, is found in each.
 - Ties between windows: the leftmost. An empty table on either side: no rows. Extra columns: not read.
-- A benchmark of more than ``ITEMS`` items is searched for in several rounds of that many, so what is
-  sent to executors is bounded.
+- A benchmark of more than ``ROUND`` parts is searched for in several rounds of that many, with the same
+  result. What is sent to executors grows with the benchmark (its vocabulary by ``RANK`` numbers), not
+  with the corpus.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brisa.llm.rows import by_row, numbered, without_rows
-from brisa.llm.text import WORD, chunked, words
+from brisa.llm.text import WORD, chunked, mix, words
 from brisa.session import Scratch, ensure_importable
 
 STRIDE = 64
@@ -45,19 +50,23 @@ STRONG, WEAK, ANSWER = 0.75, 0.65, 0.8
 LEAST_WORDS = 8
 #: A shorter sentence than this is no answer: its words could be there by chance.
 LEAST_ANSWER = 4
-ITEMS = 1000
-#: Terms in more than this share of the passages (and in ``COMMON`` of them) carry no weight.
-MAX_SHARE, COMMON = 0.05, 100
+#: Probes compared at once in a task; those that one pass over the corpus searches for.
+ITEMS, ROUND = 1000, 32_000
+#: What a term weighs at least, however many passages have it.
+LEAST_IDF = 0.1
 _TOKENS = 120_000
 SCHEMA = "doc_id bigint, item_id bigint, start int, cosine double, lcs int, lcs_ratio double, answer_found boolean"
 _END = re.compile(r"[.!?\n]+")
 
 
 class Probe:
-    """A part of a benchmark passage: its words as vocabulary ids, and its answer's."""
+    """A part of a benchmark passage: its words as vocabulary ids, and its answer's.
 
-    def __init__(self, item: int, ids: list[int], answer: list[int]):
-        self.item, self.ids, self.answer = item, ids, answer
+    ``reach``: in how many blocks around a window the answer is looked for.
+    """
+
+    def __init__(self, item: int, ids: list[int], answer: list[int], reach: int = 0):
+        self.item, self.ids, self.answer, self.reach = item, ids, answer, reach
         self.masks, self.answer_masks = masks(ids), masks(answer)
 
 
@@ -95,7 +104,7 @@ def probes_of(rows) -> tuple[list[Probe], dict[str, int]]:
         parts = -(-len(ids) // STRIDE)
         for k in range(parts):
             a, b = k * len(ids) // parts, (k + 1) * len(ids) // parts
-            probes.append(Probe(item, ids[a:b], answer if len(answer) <= STRIDE else answer[-STRIDE:]))
+            probes.append(Probe(item, ids[a:b], answer, parts if parts > 1 else 0))
     return probes, vocab
 
 
@@ -249,7 +258,8 @@ def summed(df: DataFrame) -> dict[int, np.ndarray]:
     return {r.part: np.frombuffer(r.data, dtype=np.float64) for r in rows}
 
 
-def bench_rows(probes: list[Probe], idf: np.ndarray):
+def bench_rows(probes: list[Probe]):
+    """Terms and rows of the probes, a row for each."""
     term = np.array([i for p in probes for i in p.ids], dtype=np.int64)
     block = np.repeat(np.arange(len(probes)), [len(p.ids) for p in probes])
     return term, block
@@ -261,7 +271,7 @@ def latent_basis(known: DataFrame, probes: list[Probe], idf: np.ndarray, rank: i
     n_terms = len(idf)
     wide = min(n_terms, rank + OVERSAMPLE)
     w = np.random.default_rng(7).standard_normal((n_terms, wide)).astype(np.float32)
-    bench = sparse_rows(*bench_rows(probes, idf), idf)
+    bench = sparse_rows(*bench_rows(probes), idf)
     z_bench = np.zeros((n_terms, wide), dtype=np.float32)
     accumulate(z_bench, *bench, w)
     parts = summed(known.select("n", "at", "term").mapInArrow(_range(sc.broadcast((idf, w))), "part int, data binary"))
@@ -278,114 +288,160 @@ def latent_basis(known: DataFrame, probes: list[Probe], idf: np.ndarray, rank: i
     return (q @ vector[:, lead[value[lead] > 1e-12]]).astype(np.float32)
 
 
+def run_hashes(ids: np.ndarray) -> np.ndarray:
+    """A hash for each ``LEAST_WORDS`` ids in a row."""
+    n = max(0, len(ids) - LEAST_WORDS + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(LEAST_WORDS):
+        h = h * np.uint64(0x100000001B3) + ids[k : k + n].astype(np.uint64) + np.uint64(1)
+    return mix(h)
+
+
+class Index:
+    """What a task needs of the probes it searches for: ids, latent vectors, hashes of their runs."""
+
+    def __init__(self, probes: list[Probe], vectors: np.ndarray):
+        self.probes, self.vectors = probes, vectors
+        self.size = np.array([len(p.ids) for p in probes], dtype=np.int64)
+        self.ids = np.array([i for p in probes for i in p.ids], dtype=np.int32)
+        self.offset = np.cumsum(self.size) - self.size
+        runs = [np.unique(run_hashes(np.array(p.ids))) for p in probes]
+        hashes, owner = np.concatenate(runs), np.repeat(np.arange(len(probes)), [len(r) for r in runs])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], owner[order]
+
+    def sharing(self, at: np.ndarray, term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the terms, probe) wherever a probe's run of words stands in a document."""
+        h = run_hashes(term)
+        n, k = len(h), LEAST_WORDS - 1
+        ok = np.flatnonzero((at[k : k + n] - at[:n] == k) & (doc[k : k + n] == doc[:n]))
+        lo, hi = (np.searchsorted(self.hashes, h[ok], side=x) for x in ("left", "right"))
+        some = np.flatnonzero(hi > lo)
+        count = (hi - lo)[some]
+        place = np.repeat(ok[some], count)
+        return place, self.owner[np.repeat(lo[some] - np.cumsum(count) + count, count) + np.arange(len(place))]
+
+    def held(self, some: np.ndarray, present: np.ndarray) -> np.ndarray:
+        """How many words of each of some probes are present."""
+        size = self.size[some]
+        start = np.cumsum(size) - size
+        flat = self.ids[np.repeat(self.offset[some] - start, size) + np.arange(size.sum())]
+        return np.add.reduceat(present[flat], start, dtype=np.int32)
+
+
+def _windows(have: np.ndarray, sums: np.ndarray, first: np.ndarray):
+    """Vectors, first blocks and documents of all windows that hold a known word.
+
+    A window is a block and the next one of the same document, if there is one.
+    """
+    owner = np.searchsorted(first, have, side="right") - 1
+    follows = np.r_[(have[1:] == have[:-1] + 1) & (owner[1:] == owner[:-1]), False]
+    win = sums.copy()
+    win[follows] += sums[1:][follows[:-1]]
+    # A block whose predecessor has no known word still begins the window before it.
+    lone = np.flatnonzero(~np.r_[False, follows[:-1]] & (have > first[owner]))
+    return np.vstack([win, sums[lone]]), np.r_[have, have[lone] - 1], np.r_[owner, owner[lone]]
+
+
+def _candidates(index: Index, win: np.ndarray, at_block: np.ndarray, shared: tuple[np.ndarray, np.ndarray], n_blocks: int):
+    """(window, probe, cosine) of the pairs to look at, by window."""
+    norm = np.maximum(np.linalg.norm(win, axis=1), 1e-12)
+    unit, n = win / norm[:, None], len(index.probes)
+    keys = []
+    for a in range(0, n, ITEMS):
+        k, p = np.nonzero(unit @ index.vectors[a : a + ITEMS].T >= COSINE)
+        keys.append(k * n + p + a)
+    # Probes with a run of words that stands there, whatever the words weigh.
+    window = np.full(n_blocks + 1, -1, dtype=np.int64)
+    window[at_block] = np.arange(len(at_block))
+    block, probe = shared
+    for k in (window[block], window[block - 1]):
+        keys.append(k[k >= 0] * n + probe[k >= 0])
+    key = np.unique(np.concatenate(keys))
+    k, p = key // max(1, n), key % max(1, n)
+    return k, p, np.einsum("ij,ij->i", unit[k], index.vectors[p])
+
+
 def _search(shared):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()]
 
     def run(batches):
-        idf, basis, probes, items = shared.value
-        scaled = basis * idf[:, None]
-        occurs = np.zeros((len(probes), len(idf)), dtype=np.uint8)  # how often probes have terms
-        for p, probe in enumerate(probes):
-            np.add.at(occurs[p], probe.ids, 1)
-        least = np.array([WEAK * len(p.ids) for p in probes])
+        scaled, index = shared.value
+        present = np.zeros(len(scaled), dtype=bool)
         for part in _parts(batches, ("doc_id", "n", "at", "term")):
-            _, term, block, size, first = _blocks(part)
-            keep = idf[term] > 0
-            b, t = block[keep], term[keep]
-            if not len(b):
+            at, term, block, size, first = _blocks(part)
+            if not len(term):
                 continue
-            start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-            have = b[start]
-            sums = run_sums(scaled, t, None, start, np.r_[start[1:], len(t)])
-            # A window is a block and the next one of the same document, if there is one.
-            owner = np.searchsorted(first, have, side="right") - 1
-            follows = np.r_[(have[1:] == have[:-1] + 1) & (owner[1:] == owner[:-1]), False]
-            win = sums.copy()
-            win[follows] += sums[1:][follows[:-1]]
-            # A block whose predecessor has no known word still begins the window before it.
-            lone = np.flatnonzero(~np.r_[False, follows[:-1]] & (have > first[owner]))
-            win, at_block, own = np.vstack([win, sums[lone]]), np.r_[have, have[lone] - 1], np.r_[owner, owner[lone]]
-            norm = np.linalg.norm(win, axis=1)
-            cos = (win @ items.T) / np.maximum(norm, 1e-12)[:, None]
-            ends = np.cumsum(size)
-            out = []
-            wk, wp = np.nonzero(cos >= COSINE)
+            start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            sums = run_sums(scaled, term, None, start, np.r_[start[1:], len(term)])
+            win, at_block, own = _windows(block[start], sums, first)
+            place, probe = index.sharing(at, term, np.repeat(np.arange(len(part)), size))
+            wk, wp, cos = _candidates(index, win, at_block, (block[place], probe), int(first[-1]))
+            ends, out = np.cumsum(size), []
             runs = np.flatnonzero(np.r_[True, wk[1:] != wk[:-1]]) if len(wk) else []
             for i, j in zip(runs, [*runs[1:], len(wk)]):
-                k, some = wk[i], wp[i:j]
-                doc, w0 = own[k], at_block[k]
+                doc, w0, some = own[wk[i]], at_block[wk[i]], wp[i:j]
                 lo, hi = ends[doc] - size[doc], ends[doc]
-                a, z = np.searchsorted(block[lo:hi], [w0, w0 + 2])
-                seen = term[lo + a : lo + z]
+
+                def words_at(a: int, z: int) -> np.ndarray:
+                    a, z = np.searchsorted(block[lo:hi], [a, z])  # noqa: B023
+                    return term[lo + a : lo + z]  # noqa: B023
+
+                seen = words_at(w0, w0 + 2)
                 # No common subsequence is longer than the number of words that occur at all.
-                distinct = list(set(seen.tolist()))
-                at_most = occurs[some[:, None], distinct].sum(1, dtype=np.int32)
-                for p in some[at_most >= least[some]]:
-                    probe = probes[p]
-                    n = lcs(probe.masks, len(probe.ids), seen.tolist())
-                    ratio = n / len(probe.ids)
+                present[seen] = True
+                enough = index.held(some, present) >= WEAK * index.size[some]
+                present[seen] = False
+                for p, c in zip(some[enough].tolist(), cos[i:j][enough].tolist()):
+                    x = index.probes[p]
+                    n = lcs(x.masks, len(x.ids), seen.tolist())
+                    ratio = n / len(x.ids)
                     if ratio < WEAK:
                         continue
-                    found = lcs(probe.answer_masks, len(probe.answer), seen.tolist()) >= ANSWER * len(probe.answer)
+                    near = seen if not x.reach else words_at(w0 - x.reach, w0 + 2 + x.reach)
+                    found = lcs(x.answer_masks, len(x.answer), near.tolist()) >= ANSWER * len(x.answer)
                     if ratio >= STRONG or found:
-                        out.append((part[doc][0], probe.item, int(w0 - first[doc]) * STRIDE, float(cos[k, p]), n, ratio, found))
+                        out.append((part[doc][0], x.item, int(w0 - first[doc]) * STRIDE, round(c, 5), n, ratio, found))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return run
 
 
-def _round(known: DataFrame, probes: list[Probe], n_terms: int) -> DataFrame:
-    sc = known.sparkSession.sparkContext
+def weights(known: DataFrame, n_terms: int) -> np.ndarray:
+    """Every term's inverse document frequency over the corpus' passages; never zero."""
     df = np.zeros(n_terms + 1)
-    for r in known.select("n", "at", "term").mapInArrow(_frequencies(n_terms), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    counts = known.select("n", "at", "term").mapInArrow(_frequencies(n_terms), "term int, df bigint")
+    for r in counts.groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r.term] = r.df
-    df, blocks = df[:-1], df[-1]
-    idf = np.where(df > max(COMMON, MAX_SHARE * blocks), 0.0, np.log((1 + blocks) / (1 + df)) + 1).astype(np.float32)
-    basis = latent_basis(known, probes, idf)
-    items = project(*_full_rows(probes, idf), basis)
-    norm = np.linalg.norm(items, axis=1)
-    items = (items / np.maximum(norm, 1e-12)[:, None]).astype(np.float32)
-    return known.mapInArrow(_search(sc.broadcast((idf, basis, probes, items))), SCHEMA)
-
-
-def _full_rows(probes: list[Probe], idf: np.ndarray):
-    """A row for every probe, also for those whose words all are common ones (then it's zero)."""
-    term, block = bench_rows(probes, idf)
-    return block, term, idf[term], len(probes)
+    return np.maximum(np.log((1 + df[-1]) / (1 + df[:-1])), LEAST_IDF).astype(np.float32)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Which documents hold which benchmark items (see above)."""
     spark = docs.sparkSession
     ensure_importable(spark)
-    scratch = Scratch(spark)
+    sc, scratch = spark.sparkContext, Scratch(spark)
     items = benchmark.select(F.col("item_id").cast("bigint"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
-    found, batch = None, []
-
-    def search(rows) -> None:
-        nonlocal found
-        probes, vocab = probes_of(rows)
-        if not probes:
-            return
-        texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
-        known = scratch.put(texts.mapInArrow(_known(spark.sparkContext.broadcast(vocab)), "doc_id bigint, n int, at binary, term binary"), "known")
-        more = scratch.put(_round(known, probes, len(vocab)), f"leaks{len(done)}")
-        scratch.drop("known")
-        done.append(more)
-        found = more if found is None else found.unionByName(more)
-
-    done: list[DataFrame] = []
-    for row in items.toLocalIterator():
-        batch.append((row.item_id, row.text))
-        if len(batch) == ITEMS:
-            search(batch)
-            batch = []
-    if batch:
-        search(batch)
-    if found is None:
+    probes, vocab = probes_of((r.item_id, r.text) for r in items.toLocalIterator())
+    if not probes:
         return spark.createDataFrame([], SCHEMA)
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
+    known = scratch.put(texts.mapInArrow(_known(sc.broadcast(vocab)), "doc_id bigint, n int, at binary, term binary"), "known")
+    # One weighting and one basis for the whole benchmark, so how it is cut into rounds changes nothing.
+    idf = weights(known, len(vocab))
+    basis = latent_basis(known, probes, idf)
+    scaled = basis * idf[:, None]
+    found = None
+    for a in range(0, len(probes), ROUND):
+        some = probes[a : a + ROUND]
+        term, block = bench_rows(some)
+        vectors = project(block, term, idf[term], len(some), basis)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
+        more = scratch.put(known.mapInArrow(_search(sc.broadcast((scaled, Index(some, vectors)))), SCHEMA), f"leaks{a}")
+        found = more if found is None else found.unionByName(more)
+    scratch.drop("known")
     best = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("lcs_ratio"), "start", F.desc("cosine")))
     return found.withColumn("place", best).where("place = 1").drop("place")
 
