@@ -2,7 +2,8 @@
 
 Method: a notice within ``k`` edits, split into ``k + 1`` pieces, holds one of them unchanged
 (pigeonhole). An Aho-Corasick automaton finds all pieces of all notices; around each, the ``regex``
-library's bounded-error matching verifies the edits and gives the span.
+library's bounded-error matching verifies the edits and gives the span. What is verified at once is
+about a notice long, however many notices follow each other, so time is linear in the text.
 
 Rows: ``doc_id, license, start, end, edits, matched``. Case and kind of white space don't count.
 
@@ -21,11 +22,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brisa.llm.text import first_of_overlapping
 from brisa.session import ensure_importable
 
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 12
 SCHEMA = "doc_id bigint, license string, start int, end int, edits int, matched string"
+_SPDX = (
+    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only",
+    "LGPL-3.0-only", "AGPL-3.0-only", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0",
+)
 _WORK = "this work is licensed under "
 NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "released under the mit license"),
@@ -46,6 +52,14 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "licensed under cc by-nc 4.0"),
     ("CC-BY-NC-SA-4.0", "licensed under cc by-nc-sa 4.0"),
     ("CC-BY-NC-ND-4.0", "licensed under cc by-nc-nd 4.0"),
+    ("CC-BY-4.0", "creative commons attribution 4.0 international license"),
+    ("CC-BY-SA-4.0", "creative commons attribution-sharealike 4.0 international license"),
+    ("GPL-2.0-or-later", "either version 2 of the license, or (at your option) any later version"),
+    ("GPL-3.0-or-later", "either version 3 of the license, or (at your option) any later version"),
+    ("LGPL-2.1", _WORK + "the gnu lesser general public license, version 2.1"),
+    ("EPL-2.0", "made available under the terms of the eclipse public license 2.0"),
+    ("Unlicense", "this is free and unencumbered software released into the public domain"),
+    *((name, "spdx-license-identifier: " + name.lower()) for name in _SPDX),
 )
 
 
@@ -70,7 +84,11 @@ class Matcher:
     def __init__(self, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT):
         self.notices = notices
         self.edits = [max(1, len(n) // chars_per_edit) for _, n in notices]
+        if any(len(n) <= 6 * k for (_, n), k in zip(notices, self.edits)):
+            raise ValueError("a notice needs more than six characters for each edit that is allowed")
         self.compiled = [regex.compile(f"(?be)(?:{regex.escape(n)}){{e<={k}}}") for (_, n), k in zip(notices, self.edits)]
+        # An edit spoils at most three of a notice's trigrams: what lacks more is no match.
+        self.grams = [[n[j : j + 3] for j in range(len(n) - 2)] for _, n in notices]
         by: dict[str, list[tuple[int, int]]] = {}
         for i, ((_, n), k) in enumerate(zip(notices, self.edits)):
             for at, piece in pieces(n, k):
@@ -85,52 +103,44 @@ class Matcher:
         low, near = fold(text), {}
         for end, (n, where) in self.automaton.iter(low):
             for i, at in where:
-                begin = end - n + 1 - at
-                near.setdefault(i, []).append((begin - self.edits[i], begin + len(self.notices[i][1]) + self.edits[i]))
-        found = []
-        for i, spans in near.items():
-            lo, hi = None, None
-            for a, b in [*sorted(spans), (1 << 60, 1 << 60)]:
-                if lo is None:
-                    lo, hi = a, b
-                elif a <= hi:
-                    hi = max(hi, b)
-                else:
-                    self._within(low, i, max(0, lo), min(len(low), hi), found)
-                    lo, hi = a, b
-        out: list[tuple[int, int, int, int]] = []
-        for m in sorted(found, key=lambda m: (m[3], -len(self.notices[m[2]][1]), m[0], m[2])):
-            if all(m[1] <= o[0] or m[0] >= o[1] for o in out):
-                out.append(m)
-        return sorted(out)
-
-    def _within(self, low: str, i: int, lo: int, hi: int, found: list) -> None:
-        """The best match in a stretch, then those left and right of it."""
-        todo, least = [(lo, hi)], len(self.notices[i][1]) - self.edits[i]
-        while todo:
-            lo, hi = todo.pop()
-            if hi - lo < least or not (m := self.compiled[i].search(low, lo, hi)):
-                continue
-            found.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
-            todo += [(lo, m.start()), (m.end(), hi)]
-
-
-_MATCHER: list[Matcher] = []
-
-
-def _scan(batches):
-    if not _MATCHER:
-        _MATCHER.append(Matcher())
-    find = _MATCHER[0].find
+                near.setdefault(i, set()).add(end - n + 1 - at)
+        found = set()
+        for i, begins in near.items():
+            size, k = len(self.notices[i][1]), self.edits[i]
+            # Pieces of one occurrence put its begin at most so far apart; they are verified together.
+            first = last = None
+            for begin in [*sorted(begins), 1 << 60]:
+                if first is not None and begin > first + 2 * k:
+                    at = max(0, first - k)
+                    part = low[at : last + size + k]
+                    if sum(g in part for g in self.grams[i]) >= size - 2 - 3 * k and (m := self.compiled[i].search(part)):
+                        found.add((at + m.start(), at + m.end(), i, sum(m.fuzzy_counts)))
+                    first = None
+                first, last = begin if first is None else first, begin
+        return first_of_overlapping(found, lambda m: (m[3], -len(self.notices[m[2]][1]), m[0], m[2]))
+
+
+_MATCHERS: dict[tuple, Matcher] = {}
+
+
+def _scan(notices: tuple[tuple[str, str], ...], chars_per_edit: int):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-    for b in batches:
-        rows = [(d, NOTICES[i][0], s, e, n, t[s:e]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for s, e, i, n in find(t)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+    def run(batches):
+        key = notices, chars_per_edit
+        find = (_MATCHERS.get(key) or _MATCHERS.setdefault(key, Matcher(*key))).find
+        for b in batches:
+            texts = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            rows = [(d, notices[i][0], s, e, n, t[s:e]) for d, t in texts if t for s, e, i, n in find(t)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-def scan(docs: DataFrame) -> DataFrame:
-    """All notices in all documents. One pass, no shuffle."""
+    return run
+
+
+def scan(docs: DataFrame, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """All of the ``notices`` (license, small-letter text) in all documents. One pass, no shuffle."""
     ensure_importable(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_scan, SCHEMA)
+    run = _scan(tuple((name, fold(text)) for name, text in notices), chars_per_edit)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)

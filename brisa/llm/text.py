@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -58,6 +59,18 @@ def word_ids(texts: list[str], table: WordHash) -> tuple[np.ndarray, np.ndarray]
     return np.array(flat, dtype=np.int64), np.array(ends, dtype=np.int64)
 
 
+def first_of_overlapping(found: Iterable[tuple], key) -> list[tuple]:
+    """Spans ``(start, end, ...)`` by place: of those that overlap, the first by ``key`` stays."""
+    starts: list[int] = []
+    out: list[tuple] = []
+    for hit in sorted(found, key=key):
+        # What is kept doesn't overlap, so only the neighbours can.
+        k = bisect_right(starts, hit[0])
+        if (not k or out[k - 1][1] <= hit[0]) and (k == len(out) or hit[1] <= starts[k]):
+            starts.insert(k, hit[0]), out.insert(k, hit)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (public-domain splitmix constants), vectorised."""
     x = x.astype(np.uint64, copy=True)
