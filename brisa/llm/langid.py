@@ -16,6 +16,7 @@ Defined results
 - Null, empty and letterless texts: ``predicted`` is ``und``, ``n_ngrams`` 0, scores 0.
 - Ties: the language first in alphabetical order. Null ``doc_id``: kept. Repeated rows: a row each.
 - Rows with a null label aren't fitted on. No labelled row at all: every text is ``und``.
+- Any number of languages: beyond 64, rows of the filter are longer. Every label is a language.
 - Very long texts are read whole. An empty table gives no rows. Extra columns are not read.
 """
 
@@ -37,7 +38,8 @@ N = 4
 HASHES = 3
 #: Rows of the filter for each n-gram of the language that has most.
 ROWS_PER_GRAM = 10
-MAX_LANGUAGES = 64
+#: Languages in a word of a filter's row.
+_WORD = 64
 SCHEMA = "doc_id bigint, predicted string, n_ngrams bigint, score double, runner_up string, runner_up_score double"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -71,20 +73,31 @@ def _count(batches):
 
 
 class Filter:
-    """The bit-sliced filter: ``rows[i]`` has bit ``l`` set if language ``l`` has an n-gram there."""
+    """The bit-sliced filter: ``rows[i]`` has bit ``l`` set if language ``l`` has an n-gram there.
+
+    A row is one word for up to 64 languages, an array of words for more.
+    """
 
     def __init__(self, languages: list[str], members: list[np.ndarray], hashes: int = HASHES):
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"at most {MAX_LANGUAGES} languages fit the row of bits")
         self.languages, self.hashes = languages, hashes
         most = max([len(m) for m in members], default=1)
         self.bits = max(10, int(np.ceil(np.log2(max(1, most) * ROWS_PER_GRAM))))
-        self.rows = np.zeros(1 << self.bits, dtype=np.uint32 if len(languages) <= 32 else np.uint64)
+        n_words = -(-len(languages) // _WORD)
+        self.rows = np.zeros((1 << self.bits, n_words) if n_words > 1 else 1 << self.bits, dtype=np.uint32 if len(languages) <= 32 else np.uint64)
         for l, m in enumerate(members):
+            column, bit = self._slice(self.rows, l)
             for at in self._at(m):
-                self.rows[at] |= self.rows.dtype.type(1 << l)
-        fill = np.array([np.count_nonzero(self.rows >> self.rows.dtype.type(l) & self.rows.dtype.type(1)) for l in range(len(languages))]) / len(self.rows)
-        self.false_positive = fill**hashes
+                column[at] |= bit
+        self.false_positive = np.array([np.count_nonzero(self._has(self.rows, l)) for l in range(len(languages))]) / len(self.rows)
+        self.false_positive **= hashes
+
+    def _slice(self, rows: np.ndarray, l: int):
+        """The words that hold language ``l``, and its bit in them."""
+        return (rows if rows.ndim == 1 else rows[:, l // _WORD]), self.rows.dtype.type(1 << l % _WORD)
+
+    def _has(self, rows: np.ndarray, l: int) -> np.ndarray:
+        column, bit = self._slice(rows, l)
+        return (column & bit) != 0
 
     def _at(self, g: np.ndarray):
         step = g >> np.uint64(32) | np.uint64(1)
@@ -104,9 +117,8 @@ class Filter:
         out = np.zeros((len(texts), len(self.languages)))
         if len(g):
             mask, doc = self.languages_of(g), np.repeat(np.arange(len(texts)), n)
-            one = mask.dtype.type(1)
             for l, fp in enumerate(self.false_positive):
-                hits = np.bincount(doc, weights=(mask >> mask.dtype.type(l) & one), minlength=len(texts))
+                hits = np.bincount(doc, weights=self._has(mask, l), minlength=len(texts))
                 out[:, l] = np.clip((hits - n * fp) / (1 - fp if fp < 1 else 1) / np.maximum(n, 1), 0, None)
         return out, n
 
@@ -148,7 +160,11 @@ def _apply(shared):
 
 
 def identify(docs: DataFrame, model: Filter | None = None) -> DataFrame:
-    """The language of every document. One pass, no shuffle; the filter has a fixed bound."""
+    """The language of every document.
+
+    Applying the filter is one pass without a shuffle. Fitting it reads labels and the chosen rows' texts and
+    shuffles their n-gram counts. The filter grows with the number of languages, not with the corpus.
+    """
     model = model or fit(docs)
     ensure_importable(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_apply(docs.sparkSession.sparkContext.broadcast(model)), SCHEMA)
