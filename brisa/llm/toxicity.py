@@ -4,7 +4,15 @@ Method: class-conditional Kneser-Ney models over the characters of words. Each c
 counts; what they back off to is shared: a Kneser-Ney model of every document, labelled or not, with
 continuation counts at its lower orders. What is rare in a class is smoothed through these, with one weight for both
 classes, so that an expression neither class knows says nothing. The documents' length-normalised
-log-likelihoods are compared: ``(log p_toxic - log p_ordinary) / (words + PRIOR_WORDS)`` is ``score``.
+log-likelihoods are compared, word by word: with ``r(w) = log p_toxic(w) - log p_ordinary(w)`` for each
+word of a document, ``score`` is the sum of ``sign(r) * max(|r| - NOISE, 0)``, over ``words + PRIOR_WORDS``.
+
+This departs from the plain difference of log-likelihoods, which is ``NOISE = 0``. There, small chance
+differences of the many ordinary words outweigh the few toxic ones in long documents: on halved labels of
+51,282 documents, recall is 0.92 with 2.9 % of the ordinary documents rejected, against 0.98 and 0.13 %.
+A word is modelled from its beginning on, whatever precedes it, so an expression of several words counts
+as its words: with the letters before it as context, a word's first letters would have no class counts of
+their own in most places.
 
 Counting: one pass sums words by class in the workers; n-grams are counted from these and merged by
 a shuffle that grows with the corpus. The larger class's counts are scaled to the smaller's total.
@@ -45,7 +53,7 @@ MARGIN = 0.05
 PRIOR_WORDS = 10
 #: Labels up to this many are sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
-#: N-grams in which the classes differ, up to this many (12 bytes each), are sent to every executor;
+#: N-grams in which the classes differ, up to this many (16 bytes each), are sent to every executor;
 #: beyond, documents' words are joined with the words' scores.
 BROADCAST_GRAMS = 8_000_000
 _FLUSH_WORDS = 300_000
@@ -197,6 +205,13 @@ class WordScores:
         return known
 
 
+def _hashed(batches):
+    """The evidence with hashes for n-grams: what reaches the driver is two numbers each."""
+    for b in batches:
+        codes = np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le"), dtype=np.uint32).reshape(-1, ORDER + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(gram_hash(codes).view(np.int64)), b.column("delta")], names=["hash", "delta"])
+
+
 def _score(shared):
     def run(batches):
         table = WordScores(*shared.value)
@@ -255,9 +270,8 @@ def score(docs: DataFrame, labels: DataFrame, margin: float = MARGIN) -> DataFra
 def _scores(docs: DataFrame, delta: DataFrame, scratch: Scratch, margin: float) -> DataFrame:
     spark = docs.sparkSession
     if delta.count() <= BROADCAST_GRAMS:
-        table = delta.toArrow()
-        codes = np.frombuffer("".join(table["gram"].to_pylist()).encode("utf-32-le"), dtype=np.uint32).reshape(-1, ORDER + 1)
-        shared = spark.sparkContext.broadcast((gram_hash(codes), table["delta"].to_numpy()))
+        table = delta.mapInArrow(_hashed, "hash bigint, delta double").toArrow()
+        shared = spark.sparkContext.broadcast((table["hash"].to_numpy().view(np.uint64), table["delta"].to_numpy()))
         rows = texts_of(docs).mapInArrow(_score(shared), SCHEMA)
     else:
         rows = _scores_by_join(docs, delta, scratch)
