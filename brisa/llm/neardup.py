@@ -11,7 +11,10 @@ Pairs at up to ``SURE`` are near-duplicates. Between ``SURE`` and ``DISTANCE`` l
 the more so the larger the table, texts that have little in common; such a pair counts if its shingles'
 Jaccard, taken exactly from both texts, is at least ``OVERLAP``.
 
-The first levels route fingerprints to lists in one shuffle, the rest run inside a list's task. Lists
+The first levels route fingerprints to lists in one shuffle, the rest run inside a list's task. One level
+is routed up to about 1e9 fingerprints (41 rows of the shuffle for each), two up to 7e10 (about 520), see
+``rows_per_fingerprint``: so much does a recall of 0.95 at 76 of 256 bits cost with lists that fit a task.
+Lists
 report spanning forests of the sure pairs they find, never all of them, and the unsure pairs that these
 leave apart; components are groups.
 
@@ -22,7 +25,9 @@ Defined results
 - Null or wordless texts: groups by themselves. Null ``doc_id``: kept, with null ``group_id``.
 - One or two words: a single shingle. Very long texts are read whole.
 - Repeated rows: rows with the same ``doc_id`` and fingerprint are one row of ``groups``;
-  ``deduplicate`` keeps one of them (a tie: the smallest text). An empty table gives no rows.
+  ``deduplicate`` keeps one of them (a tie: the smallest text). Rows with the same ``doc_id`` and different
+  fingerprints are rows of their own; in one group, the one with the smallest fingerprint is kept.
+- A cluster of any number of near-copies takes linear time. An empty table gives no rows.
 - Extra columns are not read by ``groups``; ``deduplicate`` keeps them.
 """
 
@@ -56,8 +61,14 @@ RECALL = 0.95
 LEAF = 256
 #: Lists from this size on are compared as matrices, smaller ones many at once.
 DENSE = 48
-#: Lists are routed through a shuffle until they are expected to hold no more than this.
-LIST = 2_000_000
+#: Lists of this many are searched from their members' clusters, so a cluster of any size takes linear time.
+LARGE = 2048
+#: Lists are routed through a shuffle until they are expected to hold no more than this (under 2 GB).
+LIST = 20_000_000
+#: Centres of a list, as a multiple of those at which a pair at ``DISTANCE`` shares one list on average;
+#: of them, the share that levels take which are routed after the first one. Many centres inside a task
+#: cost no shuffle; few in the further routed levels, with more repetitions, make the shuffle smallest.
+MANY, FURTHER = 2.0, 0.25
 _SEED = 20_240_229
 _TABLE = WordHash()
 
@@ -128,19 +139,30 @@ def pass_both(d: int, weight: int = WEIGHT, n: int = STRIP) -> float:
     return total / 2**n
 
 
+def centres_at(level: int, routed: int, centres: int) -> int:
+    """How many centres a list has at a level."""
+    return centres if level == 0 or level >= routed else max(1, int(centres * FURTHER))
+
+
 def plan(n: int) -> tuple[int, int, int, int]:
     """For ``n`` fingerprints: levels in all, levels before the shuffle, centres a list, repetitions."""
     keep = pass_both(0)
     levels = min(STRIPS, max(1, math.ceil(math.log(max(n, 2) / LEAF) / -math.log(keep))))
     routed = min(levels, max(1, math.ceil(math.log(max(n, 2) / LIST) / -math.log(keep))))
     both = pass_both(DISTANCE // STRIPS)
-    centres = math.ceil(1 / both)
+    centres = math.ceil(MANY / both)
     q = 1.0
-    for _ in range(levels):
-        q = 1 - (1 - both * q) ** centres
+    for level in reversed(range(levels)):
+        q = 1 - (1 - both * q) ** centres_at(level, routed, centres)
     return levels, routed, centres, math.ceil(math.log(1 - RECALL) / math.log(1 - q))
 
 
+def rows_per_fingerprint(n: int) -> float:
+    """How many rows of the shuffle a fingerprint becomes on average."""
+    _, routed, centres, reps = plan(n)
+    return reps * math.prod(pass_both(0) * centres_at(level, routed, centres) for level in range(routed))
+
+
 def permuted(words: np.ndarray, rep: int) -> np.ndarray:
     """Fingerprints (rows of 32 bytes) with their bits in the repetition's random order, as strips."""
     order = np.random.default_rng(_SEED + rep).permutation(BITS)
@@ -162,7 +184,7 @@ def members(strip: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(cs), np.concatenate(ms)
 
 
-def _route(levels: int, centres: int, reps: int):
+def _route(routed: int, centres: int, reps: int):
     def run(batches):
         for b in batches:
             if not b.num_rows:
@@ -171,11 +193,13 @@ def _route(levels: int, centres: int, reps: int):
             for rep in range(reps):
                 strips = permuted(raw, rep)
                 rows, path = np.arange(len(raw)), np.zeros(len(raw), dtype=np.int64)
-                for level in range(levels):
-                    out_rows, out_path = [], []
-                    for p in np.unique(path):
-                        at = rows[path == p]
-                        c, m = members(strips[at, level], centres_of(rep, int(p), level, centres))
+                for level in range(routed):
+                    out_rows, out_path, k = [], [], centres_at(level, routed, centres)
+                    order = np.argsort(path, kind="stable")
+                    begin = np.flatnonzero(np.r_[True, np.diff(path[order]) > 0])
+                    for a, z in zip(begin, [*begin[1:], len(order)]):
+                        p, at = int(path[order[a]]), rows[order[a:z]]
+                        c, m = members(strips[at, level], centres_of(rep, p, level, k))
                         out_rows.append(at[m]), out_path.append(p * centres + c)
                     rows, path = np.concatenate(out_rows), np.concatenate(out_path)
                 for a in range(0, len(rows), 200_000):
@@ -236,6 +260,73 @@ def _dense(words: np.ndarray, member: np.ndarray, sure: int) -> tuple[np.ndarray
     return member[moved], member[root[moved]], member[i[apart]], member[j[apart]]
 
 
+def _clusters(words: np.ndarray, member: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_dense``, for long lists: exact, and linear in the members of few clusters.
+
+    A leader takes all that are within ``sure`` of it; they are one component. Then only members of
+    different components are compared, and of these only those that, by their distances from the middles
+    of their groups, can be within ``DISTANCE``.
+    """
+    w = words[member]
+    far = lambda a, b: np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
+    left, leaders, groups, radii, lead = np.arange(len(member)), [], [], [], []
+    while len(left):
+        near = far(w[left], w[left[0]]) <= sure
+        own = left[near]
+        # The middle of a group lies nearer to its members than the leader does, so more is ruled out.
+        middle = w[own[0]]
+        if len(own) > 2:
+            middle = np.packbits(2 * np.unpackbits(w[own].view(np.uint8).reshape(len(own), -1), axis=1).sum(0, dtype=np.int64) > len(own)).view(np.uint64)
+        d = far(w[own], middle)
+        order = np.argsort(-d, kind="stable")
+        leaders.append(left[0]), groups.append(own[order]), radii.append(d[order]), lead.append(middle)
+        left = left[~near]
+    lead, most = np.stack(lead), np.array([r[0] for r in radii])
+    root = np.arange(len(leaders))
+    close, wide = [], []
+    for g in range(len(leaders) - 1):
+        d = far(lead[g + 1 :], lead[g])
+        some = np.flatnonzero(d <= DISTANCE + most[g] + most[g + 1 :])
+        close.append(np.stack([np.full(len(some), g), some + g + 1, d[some]], 1))
+    close = np.concatenate([np.zeros((0, 3), np.int64), *close])
+    close = close[np.argsort(close[:, 2], kind="stable")]
+
+    def top(g: int) -> int:
+        while root[g] != g:
+            root[g] = g = root[root[g]]
+        return g
+
+    def joined(g: int, h: int, i: np.ndarray, j: np.ndarray) -> bool:
+        """Compares members of two groups; whether that joins them."""
+        step = max(1, 100_000 // len(j))
+        for k in range(0, len(i), step):
+            e = far(w[i[k : k + step], None], w[None, j])
+            if (e <= sure).any():
+                root[max(top(g), top(h))] = min(top(g), top(h))
+                return True
+            x, y = np.nonzero(e <= DISTANCE)
+            wide.append(np.stack([i[x + k], j[y]]))
+        return False
+
+    for g, h, d in close.tolist():
+        if top(g) == top(h):
+            continue
+        # Members are sorted by falling distance from the middle: those at one distance have the same partners.
+        start = np.flatnonzero(np.r_[True, np.diff(radii[g]) != 0])
+        for p, q in zip(start.tolist(), [*start[1:].tolist(), len(radii[g])]):
+            j = groups[h][: np.searchsorted(-radii[h], radii[g][p] + DISTANCE - d, side="right")]
+            if not len(j) or joined(g, h, groups[g][p:q], j):
+                break
+    owner = np.empty(len(member), dtype=np.int64)
+    for g, own in enumerate(groups):
+        owner[own] = top(g)
+    i, j = np.concatenate([np.zeros((2, 0), np.int64), *wide], 1)
+    apart = owner[i] != owner[j]
+    first = np.array(leaders)[owner]
+    moved = np.flatnonzero(first != np.arange(len(member)))
+    return member[moved], member[first[moved]], member[i[apart]], member[j[apart]]
+
+
 def _brute(words: np.ndarray, group: np.ndarray, member: np.ndarray, root: np.ndarray, wide: list, sure: int) -> np.ndarray:
     """Roots after comparing all members of each group (sorted by group); only pairs not yet joined.
 
@@ -245,7 +336,7 @@ def _brute(words: np.ndarray, group: np.ndarray, member: np.ndarray, root: np.nd
     size = np.diff(np.r_[start, len(group)])
     joined = []
     for a, n in zip(start[size >= DENSE].tolist(), size[size >= DENSE].tolist()):
-        i, j, k, l = _dense(words, member[a : a + n], sure)
+        i, j, k, l = (_clusters if n >= LARGE else _dense)(words, member[a : a + n], sure)
         joined.append((i, j)), wide.append((k, l))
     if joined:
         i, j = (np.concatenate(x) for x in zip(*joined))
@@ -288,6 +379,7 @@ def find(raw: np.ndarray, rep: int, path: int, level: int, levels: int, centres:
         if len(at) <= LEAF or level >= levels:
             root = _brute(words, np.zeros(len(at), np.int64), at, root, wide, sure)
             continue
+        # Inside a task every level has all centres (see ``centres_at``).
         c, m = members(strips[at, level], centres_of(rep, path, level, centres))
         size = np.bincount(c, minlength=centres)
         small = (size <= LEAF)[c] | (level + 1 >= levels)
@@ -346,11 +438,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataF
 def overlapping(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Of pairs ``a, b`` of nodes, those whose texts' shingles overlap enough."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = scratch.put(nodes.join(wanted, "node").select("node", "first_id"), "wanted")
+    wanted = scratch.put(nodes.join(wanted, "node").select("node", "first_id", "fp"), "wanted")
     texts = with_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted.select("first_id"))
-    texts = texts.select("doc_id", shingles("text").alias("s")).select(F.col("doc_id").alias("first_id"), F.xxhash64("s.fp").alias("node"), "s.shingles")
-    # A repeated doc_id may bring other texts; the node tells them apart.
-    texts = scratch.put(texts.join(wanted, ["first_id", "node"]).select("node", "shingles").dropDuplicates(["node"]), "shingles")
+    texts = texts.select("doc_id", shingles("text").alias("s")).select(F.col("doc_id").alias("first_id"), "s.fp", "s.shingles")
+    # A repeated doc_id may bring other texts; the fingerprint tells them apart.
+    texts = scratch.put(texts.join(wanted, ["first_id", "fp"]).select("node", "shingles").dropDuplicates(["node"]), "shingles")
     first, second = texts.toDF("a", "first"), texts.toDF("b", "second")
     return pairs.join(first, "a").join(second, "b").where(jaccard("first", "second") >= OVERLAP).select("a", "b")
 
@@ -365,9 +457,10 @@ def _assign(docs: DataFrame) -> DataFrame:
     ensure_importable(spark)
     scratch = Scratch(spark)
     prints = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), simhash("text").alias("fp"))
-    prints = scratch.put(prints.withColumn("node", F.xxhash64("fp")), "prints")
+    prints = scratch.put(prints, "prints")
     known = prints.where("doc_id IS NOT NULL AND fp IS NOT NULL").dropDuplicates(["doc_id", "fp"])
-    nodes = scratch.put(known.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
+    nodes = known.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    nodes = scratch.put(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     levels, routed, centres, reps = plan(nodes.count())
     lists = nodes.select("node", "fp").mapInArrow(_route(routed, centres, reps), "rep int, path bigint, node bigint, fp binary")
     edges = scratch.put(lists.groupBy("rep", "path").applyInArrow(_search(routed, levels, centres), "a bigint, b bigint, sure boolean"), "pairs")
@@ -379,9 +472,10 @@ def _assign(docs: DataFrame) -> DataFrame:
     roots = components(roots.toDF("a", "b").unionByName(more), scratch, "wider")
     scratch.drop("pairs", "unsure", "wanted", "shingles")
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of_group = joined.groupBy("root").agg(F.min("first_id").alias("group_id"), F.sum("n").alias("group_size"))
-    named = joined.select("node", "root").join(of_group, "root").select("node", "group_id", "group_size")
-    grouped = known.select("doc_id", "fp", "node").join(named, "node").select("doc_id", "fp", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    of_group = joined.groupBy("root").agg(F.min(F.struct("first_id", "fp")).alias("best"), F.sum("n").alias("group_size"))
+    named = joined.select("fp", "root").join(of_group, "root").select("fp", F.col("best.first_id").alias("group_id"), "group_size", F.col("best.fp").alias("best_fp"))
+    keep = (F.col("doc_id") == F.col("group_id")) & (F.col("fp") == F.col("best_fp"))
+    grouped = known.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "group_id", "group_size", keep.alias("keep"))
     alone = prints.where("doc_id IS NULL OR fp IS NULL").select("doc_id", "fp", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("keep"))
     return grouped.unionByName(alone)
 
