@@ -12,7 +12,7 @@ the more so the larger the table, texts that have little in common; such a pair
 Jaccard, taken exactly from both texts, is at least ``OVERLAP``.
 
 The first levels route fingerprints to lists in one shuffle, the rest run inside a list's task. One level
-is routed up to about 1e9 fingerprints (41 rows of the shuffle for each), two up to 7e10 (about 520), see
+is routed up to about 1e9 fingerprints (51 to 81 rows of the shuffle for each), two up to 7e10 (720), see
 ``rows_per_fingerprint``: so much does a recall of 0.95 at 76 of 256 bits cost with lists that fit a task.
 Lists
 report spanning forests of the sure pairs they find, never all of them, and the unsure pairs that these
@@ -66,9 +66,10 @@ LARGE = 2048
 #: Lists are routed through a shuffle until they are expected to hold no more than this (under 2 GB).
 LIST = 20_000_000
 #: Centres of a list, as a multiple of those at which a pair at ``DISTANCE`` shares one list on average;
-#: of them, the share that levels take which are routed after the first one. Many centres inside a task
-#: cost no shuffle; few in the further routed levels, with more repetitions, make the shuffle smallest.
-MANY, FURTHER = 2.0, 0.25
+#: of them, the share that levels take which are routed after the first one. Twice as many centres would
+#: save a fifth of the shuffle and cost half as much work again inside the tasks; few in the further
+#: routed levels, with more repetitions, make the shuffle smaller.
+MANY, FURTHER = 1.0, 0.25
 _SEED = 20_240_229
 _TABLE = WordHash()
 
