@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import partial
 
 from brisa.functions.normalize import normalize_text
-from brisa.functions.words import digits_in_text, roman_in_text
+from brisa.functions.words import digits_in_text, roman_in_text, roman_value, words_of
 from brisa.lookup import state_keys
 from brisa.rules import builtin
 
@@ -47,4 +47,18 @@ SCALARS: dict[str, Callable[[str], str]] = {
     "estado": partial(state, field=1), "estado_nome": partial(state, field=2), "estado_codigo": partial(state, field=0),
     "municipio": _rules("municipality"), "mun": _rules("municipality"), "cep": postcode, "cep_leniente": postcode_lenient, "metaphone": phonetic,
 }
+
+
+def number_to_int(text: str) -> int | None:
+    out = builtin("number").apply(text)
+    value = int(out) if re.fullmatch(r"\+?[0-9]+", out) else 0
+    return value if 0 < value < 1 << 32 else None
+
+
+#: Functions of other types, with their SQL result type.
+TYPED: dict[str, tuple[Callable, str]] = {
+    "numero_int": (number_to_int, "bigint"),
+    "numero_por_extenso": (words_of, "string"),
+    "romano_para_inteiro": (roman_value, "int"),
+}
 OTHERS: dict[str, Callable[[str], str]] = {"normalizar": normalize_text, "numeros_por_extenso": digits_in_text, "romano_por_extenso": roman_in_text}

@@ -12,8 +12,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brisa.functions import words
-from brisa.functions.normalize import literal_map, normalize
+from brisa.functions.normalize import literal_map
 from brisa.lookup import state_keys
 from brisa.rules import builtin
 
@@ -148,13 +147,6 @@ KINDS: dict[str, Callable[[Column], Column]] = {
 }
 #: The same for tables, where two names mean something else.
 BATCH_KINDS = {k: v for k, v in KINDS.items() if k not in ("estado_nome", "estado_codigo", "cep_leniente", "metaphone")} | {"estado": state_name, "uf": state_name, "cep": postcode_lenient, "localidade": neighbourhood, "loc": neighbourhood}
-#: Further functions that SQL gets.
-OTHERS: dict[str, Callable[[Column], Column]] = {
-    "normalizar": normalize, "numero_int": number_to_int, "numero_string": number_to_string, "cep_numerico": postcode_numeric, "cep_estrito": postcode_strict,
-    "numero_por_extenso": words.number_to_words, "numeros_por_extenso": words.digits_to_words, "romano_por_extenso": words.roman_to_words, "romano_para_inteiro": words.roman_to_int,
-}
-
-
 def by_kind(name: str) -> Callable[[Column], Column]:
     """The standardizer of that name; an unknown one is an error."""
     if name not in KINDS:

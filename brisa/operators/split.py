@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,11 @@ def tokenize(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(TOKEN), F.lit(0))
 
 
+def pieces(text: str) -> list[str]:
+    """``tokenize`` of one string."""
+    return _TOKEN.findall(text)
+
+
 def is_mark(token: str) -> bool:
     return token[:1] in MARKS and token != ""
 
@@ -46,43 +51,59 @@ def _size(n: int) -> str:
     return "7+" if n >= 7 else str(n)
 
 
-def token_features(token: str, prefix: str) -> list[str]:
-    """What is said of one token: itself, its size, its kind."""
+_KINDS_OF: dict[str, list[str]] = {}
+
+
+def _kinds(token: str) -> list[str]:
     norm = fold_ascii(token).strip()
     size = f"tam:{_size(len(norm))}"
     if not norm:
-        found = [norm, size, "is_unknown"]
-    elif is_mark(norm):
-        found = [size, "is_punct", norm[0]]
-    elif norm.isascii() and norm.isdigit():
-        found = [size, "is_digit", f"digit_len:{_size(len(norm.lstrip('0')))}"]
-    elif _plain(norm):
-        found = [norm, size, "is_alpha"] + ["has_digit"] * any(c.isdigit() for c in norm)
-    else:
-        found = [norm, size, "is_unknown"]
+        return [norm, size, "is_unknown"]
+    if is_mark(norm):
+        return [size, "is_punct", norm[0]]
+    if norm.isascii() and norm.isdigit():
+        return [size, "is_digit", f"digit_len:{_size(len(norm.lstrip('0')))}"]
+    if _plain(norm):
+        return [norm, size, "is_alpha"] + ["has_digit"] * any(c.isdigit() for c in norm)
+    return [norm, size, "is_unknown"]
+
+
+def token_features(token: str, prefix: str) -> list[str]:
+    """What is said of one token: itself, its size, its kind. Results are kept, as words repeat."""
+    found = _KINDS_OF.get(token)
+    if found is None:
+        if len(_KINDS_OF) > 100_000:
+            _KINDS_OF.clear()
+        found = _KINDS_OF[token] = _kinds(token)
     return [f"{prefix}:{f}" for f in found]
 
 
 def features(tokens: Sequence[str], neighbours: Sequence[int] = NEIGHBOURS) -> list[list[str]]:
     """Every token's features. Neighbours are the next plain words, wherever they are."""
+    if 0 in neighbours:
+        raise ValueError("a neighbour is not the token itself")
     n = len(tokens)
     plain = [k for k, t in enumerate(tokens) if _plain(t)]
-    out = []
+    marks = [0]  # how many marks there are before each place
+    for t in tokens:
+        marks.append(marks[-1] + is_mark(t))
+    out, upto = [], 0  # plain words before the token
     for i in range(n):
-        after = [k for k in plain if k > i]
-        before = [k for k in reversed(plain) if k < i]
+        while upto < len(plain) and plain[upto] < i:
+            upto += 1
+        after = upto + (upto < len(plain) and plain[upto] == i)
         found = ["bias", f"{int(i / n * 4)}_pos", *token_features(tokens[i], "0")]
         found += ["BOS"] * (i == 0) + ["EOS"] * (i == n - 1)
         for d in neighbours:
-            if d == 0:
-                raise ValueError("a neighbour is not the token itself")
-            line, k = (after if d > 0 else before), abs(d)
-            if len(line) < k:
+            k = abs(d)
+            here = after + d - 1 if d > 0 else upto - k
+            if not 0 <= here < len(plain):
                 continue
-            at, last = line[k - 1], (line[k - 2] if k > 1 else i)
+            at = plain[here]
+            last = i if k == 1 else plain[here - 1 if d > 0 else here + 1]
             mark = f"{'+' if d > 0 else '-'}{k}"
             found += token_features(tokens[at], mark)
-            if at != i + d and any(map(is_mark, tokens[min(at, last) : max(at, last) + 1])):
+            if at != i + d and marks[max(at, last) + 1] > marks[min(at, last)]:
                 found.append(f"tem_pontuacao:{mark}")
         out.append(found)
     return out
@@ -167,6 +188,33 @@ class Model:
             out.append(come[out[-1]])
         return out[::-1]
 
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        """The weights as a table: ``kind`` is tag (in order), state or move."""
+        rows = [("tag", "", t, float(k)) for k, t in enumerate(self.tags)]
+        rows += [("state", f, t, float(w)) for f, ts in self.states.items() for t, w in ts.items()]
+        rows += [("move", a, b, float(w)) for (a, b), w in self.moves.items()]
+        return spark.createDataFrame(rows, "kind string, source string, tag string, weight double")
+
+    @classmethod
+    def from_df(cls, table: DataFrame) -> "Model":
+        """A model from such a table; a model is small, so it is read on the driver."""
+        out = cls([])
+        for r in sorted(table.select("kind", "source", "tag", "weight").collect(), key=lambda r: (r.kind != "tag", r.weight)):
+            if r.kind == "tag":
+                out.tags.append(r.tag)
+            elif r.kind == "state":
+                out.states.setdefault(r.source, {})[r.tag] = r.weight
+            else:
+                out.moves[r.source, r.tag] = r.weight
+        return out
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.to_df(spark).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Model":
+        return cls.from_df(spark.read.parquet(path))
+
     def to_rows(self) -> list[tuple[str, str, float]]:
         """(feature or previous tag, tag, weight), largest first: for inspection."""
         rows = [(f, t, w) for f, ts in self.states.items() for t, w in ts.items()] + [(f"after:{a}", b, w) for (a, b), w in self.moves.items()]
@@ -287,12 +335,33 @@ def tune(rows: Sequence[tuple[Sequence[str], Sequence[str]]], rounds: Sequence[i
 
 # labelled rows
 LABELS = dict(zip(("logradouro", "numero", "complemento", "bairro", "municipio", "cep"), "LOG NUM COM LOC MUN CEP".split()))
-FORMATS = tuple(
-    x.translate(str.maketrans({k: f"{v} " for k, v in zip("lncbmp", LABELS)})).strip()
-    for x in ("lnc", "lncb", "lncbm", "lncbmp", "lncpbm", "lncbpm", "mblnc", "lbncm", "lnbc")
+FORMATS = (
+    "logradouro numero complemento",
+    "logradouro numero complemento bairro",
+    "logradouro numero complemento bairro municipio",
+    "logradouro numero complemento bairro municipio cep",
+    "logradouro numero complemento cep bairro municipio",
+    "logradouro numero complemento bairro cep municipio",
+    "municipio bairro logradouro numero complemento",
+    "logradouro bairro numero complemento municipio",
+    "logradouro numero bairro complemento",
 )
-MISSING = tuple("|S/N|SN|S N|SEM NUMERO|SEM NUM".split("|"))
-PREFIXES = tuple("N. NUM NO Nº".split())
+MISSING = ("", "S/N", "SN", "S N", "SEM NUMERO", "SEM NUM")
+PREFIXES = ("N.", "NUM", "NO", "Nº")
+#: How common terms are shortened on envelopes, the usual form first.
+ABBREVIATIONS: dict[str, tuple[str, ...]] = {
+    "ALAMEDA": ("AL", "AL."), "APARTAMENTO": ("AP", "APTO", "APT"), "AVENIDA": ("AV", "AV.", "AVE"), "BAIRRO": ("B", "BRO"),
+    "BECO": ("BC", "BCO"), "BLOCO": ("BL", "BL."), "CAPITAO": ("CAP", "CAP."), "CASA": ("CS", "C"), "CHACARA": ("CH", "CHAC"),
+    "CONDOMINIO": ("COND", "CD"), "CONJUNTO": ("CJ", "CONJ"), "CORONEL": ("CEL", "CEL."), "DONA": ("D", "DA"), "DOUTOR": ("DR", "DR."),
+    "DOUTORA": ("DRA", "DRA."), "EDIFICIO": ("ED", "EDIF"), "ENGENHEIRO": ("ENG", "ENG."), "ESTRADA": ("EST", "ESTR"), "FAZENDA": ("FAZ", "FZ"),
+    "GENERAL": ("GEN", "GAL"), "GOVERNADOR": ("GOV", "GOV."), "INDUSTRIAL": ("IND",), "JARDIM": ("JD", "JD.", "JAR"), "LADEIRA": ("LAD", "LD"),
+    "LARGO": ("LG", "LGO"), "LOTE": ("LT", "LTE"), "LOTEAMENTO": ("LOT", "LOTEAM"), "MAJOR": ("MAJ", "MJ"), "MARECHAL": ("MAL", "MAR"),
+    "NOSSA SENHORA": ("N SRA", "NSA SRA", "N. SRA."), "PADRE": ("PE", "PE."), "PARQUE": ("PQ", "PRQ"), "PRACA": ("PCA", "PC", "PRC"),
+    "PREFEITO": ("PREF", "PREF."), "PRESIDENTE": ("PRES", "PRES."), "PROFESSOR": ("PROF", "PROF."), "PROFESSORA": ("PROFA", "PROFA."),
+    "QUADRA": ("QD", "Q"), "RESIDENCIAL": ("RES", "RESID"), "RODOVIA": ("ROD", "ROD.", "RDV"), "RUA": ("R", "R.", "RU"), "SALA": ("SL", "SL."),
+    "SANTA": ("STA", "STA."), "SANTO": ("STO", "STO."), "SARGENTO": ("SGTO", "SGT"), "SENADOR": ("SEN", "SEN."), "SETOR": ("ST", "SET"),
+    "SITIO": ("SIT", "ST"), "TENENTE": ("TEN", "TEN."), "TRAVESSA": ("TV", "TRAV", "TR"), "VEREADOR": ("VER", "VER."), "VILA": ("VL", "VL.", "V"),
+}
 
 
 def label(address: dict[str, str], layout: str = FORMATS[2], separator: str = ", ") -> tuple[list[str], ...]:
@@ -332,7 +401,7 @@ def drop_second_word(col: Column) -> Column:
     return F.when(F.size(parts) > 2, F.array_join(F.filter(parts, lambda x, i: i != 1), " ")).otherwise(col)
 
 
-def add_noise(df: DataFrame, key: str, abbreviations: dict[str, Sequence[str]], seed: int = 0, clean: bool = False) -> DataFrame:
+def add_noise(df: DataFrame, key: str, abbreviations: dict[str, Sequence[str]] = ABBREVIATIONS, seed: int = 0, clean: bool = False) -> DataFrame:
     """Address records as people write them. What happens to a row depends on its key and the seed.
 
     ``clean`` leaves only layouts and notations to chance.

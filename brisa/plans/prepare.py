@@ -65,19 +65,32 @@ def prepare_cnpj(df: DataFrame, towns: DataFrame) -> DataFrame:
 
 
 def union_sources(sources: dict[str, DataFrame], distinct: bool = True) -> DataFrame:
-    """All sources by position, each with its name in ``origem``."""
-    rows = reduce(DataFrame.union, [df.select(*df.columns[: len(COLUMNS)]).toDF(*COLUMNS).withColumn("origem", F.lit(k)) for k, df in sources.items()])
+    """All sources by position, each with its name in ``origem``; another number of columns is an error."""
+    for name, df in sources.items():
+        if len(df.columns) != len(COLUMNS):
+            raise ValueError(f"{name} has {len(df.columns)} columns instead of {len(COLUMNS)}")
+    rows = reduce(DataFrame.union, [df.toDF(*COLUMNS).withColumn("origem", F.lit(k)) for k, df in sources.items()])
     return rows.distinct() if distinct else rows
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` random rows: each partition offers its own best ``n``, so this is no global sort."""
-    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
+def draw(keys: list[str], seed: int = 0) -> Column:
+    """A number from 0 up to 1 for each row, from an MD5 of its keys, which other engines can compute, too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(_c(k), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
+    """``n`` random rows: each partition offers its own best ``n``, so this is no global sort.
+
+    With ``keys`` (which should tell rows apart) the same rows are drawn whenever it runs.
+    """
+    order = F.rand(seed) if keys is None else draw(keys, seed)
+    return df.withColumn("__r", order).orderBy("__r", *(keys or [])).limit(n).drop("__r")
 
 
 def random_split(df: DataFrame, keys: list[str], share: float = 0.9, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Two complementary parts. A row's side is a hash of ``keys``, so retries can't move it."""
-    r = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / float(1 << 30)
+    r = draw(keys, seed)
     return df.where(r < share), df.where(r >= share)
 
 
@@ -89,3 +102,13 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     one = df.agg(F.count("*").alias("n"), *aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max"), F.col(f"distinct_{i}").cast("bigint").alias("n_distinct"), (1 - F.col(f"count_{i}").cast("double") / F.col("n")).alias("null_share")) for i, c in enumerate(cols)])
     return one.select(F.inline(rows))
+
+
+def summarize(df: DataFrame) -> DataFrame:
+    """``profile`` with exact counts, and mean, standard deviation and quartiles of numeric columns."""
+    numeric = [c for c, t in df.dtypes if t.startswith(("int", "bigint", "smallint", "tinyint", "float", "double", "decimal"))]
+    stats = {"avg": F.avg, "std": F.stddev_samp} | {f"q{q}": (lambda c, q=q: F.percentile(c, F.lit(q / 100))) for q in (25, 50, 75)}
+    aggs = [f(F.col(f"`{c}`").cast("double")).alias(f"{k}_{i}") for i, c in enumerate(df.columns) if c in numeric for k, f in stats.items()]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[(F.col(f"{k}_{i}") if c in numeric else F.lit(None).cast("double")).alias(k) for k in stats]) for i, c in enumerate(df.columns)])
+    more = df.agg(F.count("*").alias("__n"), *aggs).select(F.inline(rows))
+    return profile(df, exact=True).join(more, "column")

@@ -164,7 +164,16 @@ def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("address_format", lambda spark, sf_dir: _addresses(spark, sf_dir).select("c_custkey", st.format_address(F.col("a")).alias("value")), f"SELECT c_custkey, concat_ws(', ', {', '.join(f'trim({v})' for v in _record.values())}) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey")
-_add("address_standardize", lambda spark, sf_dir: _addresses(spark, sf_dir).select("c_custkey", st.standardize_address(F.col("a")).alias("a")).select("c_custkey", "a.*"))
+_parts = {
+    f: chain_sql(f"SELECT c_custkey AS id, {v} AS raw, {v} AS x FROM customer JOIN nation ON c_nationkey = n_nationkey", builtin(rules))
+    for (f, v), rules in zip(_record.items(), ("street", "number", "complement", "neighbourhood"))
+}
+_add(
+    "address_standardize",
+    lambda spark, sf_dir: _addresses(spark, sf_dir).select("c_custkey", st.standardize_address(F.col("a")).alias("a")).select("c_custkey", "a.*"),
+    "SELECT logradouro.id AS c_custkey, " + ", ".join(f"{f}.x AS {f}" for f in _parts) + " FROM "
+    + " JOIN ".join(f"({sql}) {f}" + (" ON logradouro.id = " + f + ".id" if k else "") for k, (f, sql) in enumerate(_parts.items())),
+)
 _add("standardize_table", lambda spark, sf_dir: tables.standardize_table(STREET_TYPE[0](spark, sf_dir), ["tipo_logr:raw:value"], keep=["id", "raw"]), ORACLE_SQL["street_type"])
 _add("standardize_table_distinct", lambda spark, sf_dir: tables.standardize_table(STREET_TYPE[0](spark, sf_dir), ["tipo_logr:raw:value"], keep=["id", "raw"], distinct_first=True), ORACLE_SQL["street_type"])
 _add("diff_table", lambda spark, sf_dir: tables.diff_table(TOWN[0](spark, sf_dir).withColumn("want", F.upper("raw")), "municipio", "raw", "want"), f"SELECT DISTINCT raw, upper(raw) AS expected, x AS actual FROM ({chain_sql(TOWN[1], builtin('municipality'))}) WHERE x <> upper(raw)")
@@ -207,14 +216,73 @@ _add(
     " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, count(DISTINCT {c}) AS n_distinct, 1 - CAST(count({c}) AS DOUBLE) / count(*) AS null_share FROM orders" for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")),
 )
 _add("dedupe_sorted", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", "c_mktsegment").distinct().orderBy("c_nationkey", "c_mktsegment").limit(50), "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer ORDER BY 1, 2 LIMIT 50")
-_add("random_split", lambda spark, sf_dir: prepare.random_split(spark.read.parquet(f"{sf_dir}/customer.parquet"), ["c_custkey"])[0])
-_add("sample_rows", lambda spark, sf_dir: prepare.sample_rows(spark.read.parquet(f"{sf_dir}/customer.parquet"), 100))
+_DRAW = "CAST('0x' || substr(md5(concat_ws('|', '0', CAST(c_custkey AS VARCHAR))), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE)"
+_customer = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet")
+_add("random_split", lambda spark, sf_dir: prepare.random_split(_customer(spark, sf_dir), ["c_custkey"])[0], f"SELECT * FROM customer WHERE {_DRAW} < 0.9")
+_add("sample_rows", lambda spark, sf_dir: prepare.sample_rows(_customer(spark, sf_dir), 100, keys=["c_custkey"]), f"SELECT * FROM customer ORDER BY {_DRAW}, c_custkey LIMIT 100")
+_add(
+    "summarize",
+    lambda spark, sf_dir: prepare.summarize(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")).withColumns({"avg": F.round("avg", 3), "std": F.round("std", 3)}),
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, count(DISTINCT {c}) AS n_distinct, 1 - CAST(count({c}) AS DOUBLE) / count(*) AS null_share, "
+        + (f"round(avg({c}), 3) AS avg, round(stddev_samp({c}), 3) AS std, " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {q / 100}) AS q{q}" for q in (25, 50, 75)) if c != "o_orderstatus" else ", ".join(f"CAST(NULL AS DOUBLE) AS {k}" for k in ("avg", "std", "q25", "q50", "q75")))
+        + " FROM orders"
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus")
+    ),
+)
+
+
+def _prepared(f, columns: dict[str, str]) -> Query:
+    return lambda spark, sf_dir: f(_customer(spark, sf_dir).selectExpr(*[f"{v} AS `{k}`" for k, v in columns.items()]))
+
+
+def _text(*columns: str) -> str:
+    return "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {n}" for c, n in zip(columns, prepare.COLUMNS)) + " FROM customer"
+
+
+_odd = "CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '' ELSE c_mktsegment END"
+_p = "cneas_entidade_endereco_"
+_add(
+    "prepare_cneas",
+    _prepared(prepare.prepare_cneas, {f"{_p}logradouro_s": "c_name", f"{_p}numero_s": "c_custkey", f"{_p}complemento_s": _odd, f"{_p}bairro_s": "c_mktsegment", f"{_p}cep_s": "c_nationkey", "cneas_entidade_nome_municipio_s": "concat('T', c_name)", "cneas_entidade_sigla_uf_s": "'SP'"}),
+    _text("c_name", "c_custkey", _odd, "c_mktsegment", "c_nationkey", "concat('T', c_name)", "'SP'"),
+)
+_add(
+    "prepare_cno",
+    _prepared(prepare.prepare_cno, {"Tipo de logradouro": _odd, "Logradouro": "c_name", "Número do logradouro": "c_custkey", "Complemento": _odd, "Bairro": "c_mktsegment", "CEP": "c_nationkey", "Nome do município": "concat('T', c_name)", "Estado": "'SP'"}),
+    _text(f"concat_ws(' ', nullif({_odd}, ''), c_name)", "c_custkey", _odd, "c_mktsegment", "c_nationkey", "concat('T', c_name)", "'SP'"),
+)
+_add(
+    "prepare_school_census",
+    _prepared(prepare.prepare_school_census, {"ds_endereco": "c_name", "nu_endereco": _odd, "ds_complemento": _odd, "no_bairro": "c_mktsegment", "co_cep": "c_nationkey", "no_municipio": "concat('T', c_name)", "sg_uf": "CAST(NULL AS STRING)"}),
+    _text("c_name", f"coalesce({_odd}, '')", f"coalesce({_odd}, '')", "c_mktsegment", "c_nationkey", "concat('T', c_name)", "''"),
+)
+_add(
+    "prepare_welfare_posts",
+    _prepared(prepare.prepare_welfare_posts, {"endereco": "c_name", "numero": "c_custkey", "complemento": _odd, "bairro": "c_mktsegment", "cep": "c_nationkey", "cidade": "concat('T', c_name)", "uf": "'SP'"}),
+    _text("c_name", "c_custkey", _odd, "c_mktsegment", "c_nationkey", "concat('T', c_name)", "'SP'"),
+)
+_add(
+    "prepare_cnpj",
+    lambda spark, sf_dir: prepare.prepare_cnpj(
+        _customer(spark, sf_dir).selectExpr("'RUA' AS tipo_logradouro", "c_name AS logradouro", f"{_odd} AS numero_estab", f"{_odd} AS complemento", "c_mktsegment AS bairro", "c_custkey AS cep", "c_nationkey AS municipio"),
+        spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 2 = 0").selectExpr("n_nationkey AS code", "n_name AS name", "'SP' AS uf"),
+    ),
+    f"SELECT concat('RUA ', c_name) AS logradouro, coalesce({_odd}, '') AS numero, coalesce({_odd}, '') AS complemento, c_mktsegment AS localidade, CAST(c_custkey AS VARCHAR) AS cep, n_name AS municipio, CASE WHEN n_name IS NOT NULL THEN 'SP' END AS uf FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey",
+)
+_TAGS = ("'B-LOG'", "'I-LOG'", "CASE c_custkey % 3 WHEN 0 THEN 'B-NUM' WHEN 1 THEN 'O' ELSE 'I-LOG' END", "'B-COM'", "'I-NUM'", "'B-LOC'", "'B-COM'")
+_TOKENS = ("'RUA'", "c_name", "CAST(c_custkey AS STRING)", "'AP'", "CAST(c_nationkey AS STRING)", "c_mktsegment", "'LATER'")
+_add(
+    "assemble_fields",
+    lambda spark, sf_dir: _of("customer", ["c_custkey", f"array({', '.join(_TOKENS)}) AS tokens", f"array({', '.join(_TAGS)}) AS tags"])(spark, sf_dir).select("c_custkey", split.assemble_fields("tokens", "tags").alias("a")).select("c_custkey", "a.*"),
+    "SELECT c_custkey, concat('RUA ', c_name, CASE WHEN c_custkey % 3 = 2 THEN concat(' ', c_custkey) ELSE '' END) AS logradouro, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) END AS numero, concat('AP ', c_nationkey) AS complemento, c_mktsegment AS localidade FROM customer",
+)
 _add("tokenize", lambda spark, sf_dir: STREET[0](spark, sf_dir).select("id", F.array_join(split.tokenize(F.col("raw")), "|").alias("tokens")), f"SELECT id, array_to_string(regexp_extract_all(raw, '\\d+|[\\pL\\pM\\pN_]+|[^\\s\\pL\\pM\\pN_]'), '|') AS tokens FROM ({STREET[1]})")
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = _addresses(spark, sf_dir).select("c_custkey", F.struct(F.col("a.logradouro"), F.col("a.numero"), F.col("a.complemento"), F.col("a.localidade").alias("bairro"), F.lit("lugar").alias("municipio"), F.lit("SP").alias("uf"), F.lit("01310100").alias("cep")).alias("r")).select("c_custkey", "r.*")
-    noisy = split.add_noise(record, "c_custkey", {"RUA": ["R"], "JARDIM": ["JD"]})
+    noisy = split.add_noise(record, "c_custkey")
     return noisy.select("c_custkey", split.label_address(F.struct(*split.LABELS, "formato", "separador")).alias("l")).select("c_custkey", "l.tokens", "l.tags")
 
 
@@ -229,6 +297,11 @@ _add(
 FROM (SELECT o_orderkey % 5 <> 0 OR o_orderstatus = 'F' AS ok FROM orders)""",
 )
 _MODEL = split.Model(sorted(["B-LOG", "I-LOG", "B-NUM", "O"]), {"0:is_alpha": {"I-LOG": 1.0}, "BOS": {"B-LOG": 2.0}, "0:is_digit": {"B-NUM": 1.0}, "0:is_punct": {"O": 1.0}})
+_add(
+    "model_round_trip",
+    lambda spark, sf_dir: split.Model.from_df(_MODEL.to_df(spark)).to_df(spark),
+    "SELECT * FROM (VALUES " + ", ".join([f"('tag', '', {_q(t)}, CAST({k} AS DOUBLE))" for k, t in enumerate(_MODEL.tags)] + [f"('state', {_q(f)}, {_q(t)}, CAST({w} AS DOUBLE))" for f, ts in _MODEL.states.items() for t, w in ts.items()]) + ") t(kind, source, tag, weight)",
+)
 _add("split_address", lambda spark, sf_dir: tables.split_address_table(STREET[0](spark, sf_dir).withColumnRenamed("raw", "DscEndereco"), _MODEL))
 _pairs = lambda spark, sf_dir: _of("orders", ["o_orderpriority AS token", "o_orderstatus AS gold", f"{_GUESS} AS guess"])(spark, sf_dir)
 _add("top_errors", lambda spark, sf_dir: split.top_errors(_pairs(spark, sf_dir), ("token", "gold")), f"SELECT o_orderpriority AS token, o_orderstatus AS gold, count(*) AS n FROM orders WHERE o_orderstatus <> {_GUESS} GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20")
