@@ -61,8 +61,9 @@ RECALL = 0.95
 LEAF = 256
 #: Lists from this size on are compared as matrices, smaller ones many at once.
 DENSE = 48
-#: Lists of this many are searched from their members' clusters, so a cluster of any size takes linear time.
-LARGE = 2048
+#: Lists of this many are searched from their members' clusters, so a cluster of any size takes linear time;
+#: in shorter ones, comparing all pairs is faster.
+LARGE = 16_384
 #: Lists are routed through a shuffle until they are expected to hold no more than this (under 2 GB).
 LIST = 20_000_000
 #: Centres of a list, as a multiple of those at which a pair at ``DISTANCE`` shares one list on average;
@@ -284,19 +285,20 @@ def _clusters(words: np.ndarray, member: np.ndarray, sure: int) -> tuple[np.ndar
         left = left[~near]
     lead, most = np.stack(lead), np.array([r[0] for r in radii])
     root = np.arange(len(leaders))
-    close, wide = [], []
-    for g in range(len(leaders) - 1):
-        d = far(lead[g + 1 :], lead[g])
-        some = np.flatnonzero(d <= DISTANCE + most[g] + most[g + 1 :])
-        close.append(np.stack([np.full(len(some), g), some + g + 1, d[some]], 1))
-    close = np.concatenate([np.zeros((0, 3), np.int64), *close])
-    close = close[np.argsort(close[:, 2], kind="stable")]
+    wide = []
 
     def top(g: int) -> int:
         while root[g] != g:
             root[g] = g = root[root[g]]
         return g
 
+    def near_groups(g: int) -> list[list[int]]:
+        """(group, distance) of later groups that members of ``g`` may be near to, nearest first."""
+        d = far(lead[g + 1 :], lead[g])
+        some = np.flatnonzero(d <= DISTANCE + most[g] + most[g + 1 :])
+        some = some[np.argsort(d[some], kind="stable")]
+        return np.stack([some + g + 1, d[some]], 1).tolist()
+
     def joined(g: int, h: int, i: np.ndarray, j: np.ndarray) -> bool:
         """Compares members of two groups; whether that joins them."""
         step = max(1, 100_000 // len(j))
@@ -309,7 +311,7 @@ def _clusters(words: np.ndarray, member: np.ndarray, sure: int) -> tuple[np.ndar
             wide.append(np.stack([i[x + k], j[y]]))
         return False
 
-    for g, h, d in close.tolist():
+    for g, h, d in ((g, h, d) for g in range(len(leaders) - 1) for h, d in near_groups(g)):
         if top(g) == top(h):
             continue
         # Members are sorted by falling distance from the middle: those at one distance have the same partners.
