@@ -87,3 +87,42 @@ def test_one_row_of_a_group_is_kept(spark):
     rows = neardup.groups(docs).collect()
     assert sorted((r.doc_id, r.group_id, r.group_size) for r in rows) == [(1, 1, 3), (1, 1, 3), (2, 1, 3)]
     assert sum(r.keep for r in rows) == 1 and neardup.deduplicate(docs).count() == 1
+
+
+def test_long_list():
+    """The last level finds its share of the pairs at the design distance; four repetitions do up to 1e9."""
+    assert all(neardup.plan(n)[3] <= 4 and neardup.rows_per_fingerprint(n) < 45 for n in (10**6, 3 * 10**6, 10**9))
+    rng = np.random.default_rng(4)
+    n, pairs = 6000, 500
+    raw = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+    strips = np.random.default_rng(neardup._SEED).permutation(neardup.BITS)
+    bits = np.unpackbits(raw, axis=1)
+    for k in range(pairs):
+        bits[2 * k + 1] = bits[2 * k]
+        bits[2 * k + 1, strips[neardup.STRIP + rng.choice(192, 57, replace=False)]] ^= 1
+        bits[2 * k + 1, strips[rng.choice(neardup.STRIP, 19, replace=False)]] ^= 1
+    raw = np.packbits(bits, axis=1)
+    root = neardup.search(raw, 0, 0, 1, 2, 621)
+    found = root[0 : 2 * pairs : 2] == root[1 : 2 * pairs : 2]
+    assert 0.65 <= found.mean() <= 0.85 and len(np.unique(root)) >= n - pairs
+    root = neardup.search(raw, 0, 0, 1, 1, 621)  # a list that isn't to be cut further: all of them
+    assert (root[0 : 2 * pairs : 2] == root[1 : 2 * pairs : 2]).all()
+
+
+def test_shingles_only_of_wanted_texts(spark):
+    """A filter that a join infers doesn't compute them for all documents."""
+    from brisa.session import Scratch
+
+    docs = spark.createDataFrame([(k, f"a text of number {k} and some words") for k in range(20)], "doc_id bigint, text string")
+    nodes = docs.select(neardup.simhash("text").alias("fp"), "doc_id").selectExpr("doc_id AS node", "doc_id AS first_id", "fp")
+    seen = []
+
+    class Watched(Scratch):
+        def put(self, df, name, codec="zstd"):
+            if name == "shingles":
+                seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().put(df, name, codec)
+
+    pairs = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
+    assert neardup.overlapping(pairs, nodes, docs, Watched(spark)).count() <= 1
+    assert seen[0].count("ArrowEvalPython") == 1
