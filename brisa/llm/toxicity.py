@@ -57,6 +57,8 @@ BROADCAST_LABELS = 4_000_000
 #: beyond, documents' words are joined with the words' scores.
 BROADCAST_GRAMS = 8_000_000
 _FLUSH_WORDS = 300_000
+#: Words whose n-grams are counted at once, and rows of n-grams in a batch.
+_SLICE, _ROWS = 100_000, 100_000
 _PAD, _END = "\x02", "\x03"
 
 
@@ -92,15 +94,21 @@ def _strings(codes: np.ndarray, mark: str = "") -> list[str]:
 
 
 def _grams_of(lang: str | None, counts: list[Counter]):
-    """The n-gram counts of one language's word counts for the classes toxic, ordinary, any."""
-    counts = [counts[0], counts[1], counts[0] + counts[1] + counts[2]]
-    words = list(counts[2])
-    codes, word = gram_codes(words)
-    h = gram_hash(codes)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    sums = [np.bincount(inverse, weights=np.array([c.get(w, 0) for w in words], dtype=np.float64)[word], minlength=len(first)).astype(np.int64) for c in counts]
-    safe = [s.encode("utf-8", "replace").decode("utf-8") for s in _strings(codes[first], tag(lang))]
-    return pa.RecordBatch.from_arrays([pa.array(safe), *map(pa.array, sums)], names=["gram", "t", "o", "a"])
+    """The n-gram counts of one language's word counts for the classes toxic, ordinary, any.
+
+    Words go by ``_SLICE`` in alphabetical order, so that few n-grams come twice and memory has a bound.
+    """
+    every, mark = sorted(set().union(*counts)), tag(lang)
+    for a in range(0, len(every), _SLICE):
+        words = every[a : a + _SLICE]
+        codes, word = gram_codes(words)
+        _, first, inverse = np.unique(gram_hash(codes), return_index=True, return_inverse=True)
+        n = np.array([[c.get(w, 0) for w in words] for c in counts], dtype=np.float64)
+        n[2] += n[0] + n[1]
+        sums = [np.bincount(inverse, weights=x[word], minlength=len(first)).astype(np.int64) for x in n]
+        for k in range(0, len(first), _ROWS):
+            safe = [s.encode("utf-8", "replace").decode("utf-8") for s in _strings(codes[first[k : k + _ROWS]], mark)]
+            yield pa.RecordBatch.from_arrays([pa.array(safe), *(pa.array(x[k : k + _ROWS]) for x in sums)], names=["gram", "t", "o", "a"])
 
 
 def _count(batches):
@@ -114,9 +122,9 @@ def _count(batches):
             for (lang, k), some in flat.items():
                 counts.setdefault(lang, [Counter(), Counter(), Counter()])[k].update(some)
             if sum(len(c) for cs in counts.values() for c in cs) > 2 * _FLUSH_WORDS:
-                yield from (_grams_of(lang, cs) for lang, cs in counts.items() if any(cs))
+                yield from (b for lang, cs in counts.items() for b in _grams_of(lang, cs))
                 counts = {}
-    yield from (_grams_of(lang, cs) for lang, cs in counts.items() if any(cs))
+    yield from (b for lang, cs in counts.items() for b in _grams_of(lang, cs))
 
 
 def texts_of(docs: DataFrame) -> DataFrame:

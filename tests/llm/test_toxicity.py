@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from brisa.llm import toxicity as tox
@@ -93,3 +95,33 @@ def test_a_tie_is_not_toxic(spark):
     got = {r.doc_id: r.score for r in tox.score(docs, labels).collect()}
     assert got[1] > tox.MARGIN
     assert not any(r.toxic for r in tox.score(docs, labels, margin=got[1]).collect())
+
+
+def test_memory_of_counting(monkeypatch):
+    """N-grams of many words are counted in parts; their sums are those of all at once."""
+    rng = random.Random(6)
+    counts = [Counter({"".join(rng.choices("abcdefghij", k=rng.randint(3, 9))): rng.randint(1, 4) for _ in range(n)}) for n in (500, 3000, 40_000)]
+
+    def batches():
+        out = tox._grams_of("en", counts)
+        yield from [out] if isinstance(out, pa.RecordBatch) else out
+
+    def sums():
+        out = Counter()
+        for b in batches():
+            for gram, t, o, a in zip(*(c.to_pylist() for c in b.columns)):
+                out.update({(gram, "t"): t, (gram, "o"): o, (gram, "a"): a})
+        return +out
+
+    def peak():
+        tracemalloc.start()
+        for _ in batches():
+            pass
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found
+
+    whole, most = sums(), peak()
+    monkeypatch.setattr(tox, "_SLICE", 2000, raising=False)
+    monkeypatch.setattr(tox, "_ROWS", 2000, raising=False)
+    assert sums() == whole and peak() < most / 3
