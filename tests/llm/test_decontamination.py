@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +63,21 @@ def test_whole_answers():
     words = [f"w{k}" for k in range(120)]
     probes, _ = decontaminate.probes_of([(1, " ".join(words[:20]) + ". " + " ".join(words[20:]) + ".")])
     assert all(len(p.answer) == 100 and p.reach for p in probes)
+
+
+def test_held_words_of_many_windows(monkeypatch):
+    """Words of probes that windows hold, counted for many at once, are those counted one by one."""
+    monkeypatch.setattr(decontaminate, "_SEEN", 120)
+    monkeypatch.setattr(decontaminate, "_PAIRS", 7)
+    rng = np.random.default_rng(1)
+    probes = [decontaminate.Probe(k, rng.integers(0, 40, n).tolist(), [1]) for k, n in enumerate((8, 20, 64))]
+    index = decontaminate.Index(probes, np.zeros((3, 4), dtype=np.float32))
+    term = rng.integers(0, 40, 300).astype(np.int32)
+    start = np.sort(rng.integers(0, 280, 25))
+    stop = start + rng.integers(1, 20, 25)
+    window = np.sort(rng.integers(0, 25, 60))
+    probe = rng.integers(0, 3, 60)
+    held = index.held(window, probe, term, start, stop, 40)
+    for w, p, n in zip(window.tolist(), probe.tolist(), held.tolist()):
+        seen = set(term[start[w] : stop[w]].tolist())
+        assert n == sum(i in seen for i in probes[p].ids)
