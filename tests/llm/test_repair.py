@@ -123,3 +123,31 @@ def repair_rows(docs):
         return list(repair._run(bpe.DEFAULT_VOCAB, 10_000_000, repair.MIN_COUNT)([batch]))
     finally:
         pyspark.TaskContext = kept
+
+
+def phrases_of(rng, n, kinds=400):
+    phrases = [rng.integers(0, FIRST, int(rng.integers(2, 9))) for _ in range(kinds)]
+    weights = 1 / np.arange(1, kinds + 1)
+    return np.concatenate([phrases[k] for k in rng.choice(kinds, n, p=weights / weights.sum())]).astype(np.uint16)
+
+
+def test_work_follows_what_changes(monkeypatch):
+    """Pairs are counted once and where symbols change, not all of them again in each round."""
+    ids, counted, bincount = phrases_of(np.random.default_rng(4), 20_000), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: (counted.append(len(x)), bincount(x, *a, **k))[1])
+    _, _, rules = repair.compress(ids, np.zeros(1, np.int64), FIRST, 1 << 32)
+    assert len(rules) > 100 and len(counted) > 10 and sum(counted) <= 4 * len(ids)
+
+
+def test_stops_only_where_nothing_better_follows(monkeypatch):
+    """With and without the bound: the same symbols and rules; the bound ends the search early."""
+    rng, asked, no_better = np.random.default_rng(5), [], repair.no_better
+    for _ in range(60):
+        ids = phrases_of(rng, int(rng.integers(1, 2000)), int(rng.integers(2, 300)))
+        starts = np.sort(np.r_[0, rng.integers(0, len(ids) + 1, int(rng.integers(0, 6)))])
+        args = ids, starts, int(rng.choice([FIRST, 500, 510, 512, 1000, 65_500])), 1 << 32, int(rng.integers(2, 6))
+        monkeypatch.setattr(repair, "no_better", lambda *a: (asked.append(no_better(*a)), asked[-1])[1])
+        got = repair.compress(*args)
+        monkeypatch.setattr(repair, "no_better", lambda *_: False)
+        assert all(np.array_equal(a, b) for a, b in zip(got, repair.compress(*args)))
+    assert any(asked) and not all(asked)
