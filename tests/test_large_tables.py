@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brisa import queries
 from brisa.functions import standardize as st
 from brisa.operators import split
-from brisa.plans import tables
+from brisa.plans import prepare, tables
 
 
 def test_postcodes_of_large_keys(spark, tmp_path):
@@ -76,3 +76,25 @@ def test_split_table_calls_python_once(spark):
     df = spark.createDataFrame([("RUA A, 1",)], "DscEndereco string")
     plan = tables.split_address_table(df, split.Model(["O"]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EvalPython") == 1
+
+
+def test_quartiles_of_odd_values(spark):
+    """As ``percentile`` gives them, ties, NaN, infinities, zeros and nulls included."""
+    rng = random.Random(6)
+    odd = [0.0, -0.0, 1e-310, -1e-310, 1e308, -1e308, float("nan"), float("inf"), float("-inf"), None, 1.0, 1.0 + 2**-52]
+    draws = [lambda: rng.gauss(0, 1e9), lambda: rng.choice(odd), lambda: float(rng.randint(0, 3)), lambda: None]
+    for size in (1, 2, 3, 500):
+        rows = [(*(d() for d in draws), rng.randint(-(2**63), 2**63 - 1), "x") for _ in range(size)]
+        df = spark.createDataFrame(rows, "a double, b double, c double, d double, e bigint, s string").repartition(3)
+        got = {r.column: r for r in prepare.summarize(df).collect()}
+        assert set(got) == set(df.columns) and got["s"].q50 is None
+        want = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(q / 100)).alias(f"{c}{q}") for c in "abcde" for q in (25, 50, 75)]).first()
+        assert [str(got[c][f"q{q}"]).replace("-0.0", "0.0") for c in "abcde" for q in (25, 50, 75)] == [str(want[f"{c}{q}"]).replace("-0.0", "0.0") for c in "abcde" for q in (25, 50, 75)]
+
+
+def test_no_task_gets_all_values(spark):
+    """No aggregate keeps a buffer of distinct values: before, three percentiles of a column did."""
+    df = spark.range(10).select("id", F.col("id").cast("string").alias("s"))
+    plan = prepare.summarize(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+    assert prepare.summarize(df.select("s")).first().q25 is None
