@@ -98,3 +98,13 @@ def test_no_task_gets_all_values(spark):
     plan = prepare.summarize(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
     assert prepare.summarize(df.select("s")).first().q25 is None
+
+
+def test_addresses_use_all_cores(spark, tmp_path):
+    """A table in one row group was one task for all that is made of its addresses."""
+    spark.range(2000).selectExpr("id AS c_custkey", "concat('C ', id) AS c_name", "CAST(id % 3 AS INT) AS c_nationkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(3).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('N ', id) AS n_name").coalesce(1).write.parquet(str(tmp_path / "nation.parquet"))
+    for name in ("labelled_rows", "features", "assemble", "address_format", "address_standardize"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        rows = [r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(rows) == 2000 and max(rows) < 500, name
